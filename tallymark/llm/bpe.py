@@ -13,7 +13,6 @@ encoded; an empty table gives an empty result; only the named columns are read,
 from __future__ import annotations
 
 import hashlib
-import re
 from array import array
 
 import numpy as np
@@ -22,10 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAF, LONG = 1024, 4096
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 Token = tuple[int, int, int]
 _tokenizers: dict[str, object] = {}
-_spaces = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
 def load(path: str):
@@ -88,41 +86,62 @@ class Codec:
         self.tokenizer = load(path)
         self.plain = self.tokenizer.decoder is None
         self.strings = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.memo: dict[str, tuple[bytes, bytes]] = {}
+        self.ids: dict[bytes, bytes] = {}
+        self.strings_of: dict[bytes, bytes] = {}
+        self.blank: set[bytes] = set()
 
     def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
         return array("I", ids).tobytes(), b" ".join([self.strings[i] for i in ids])
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
+    def _learn(self, words: set[bytes]) -> None:
+        """Enter words that are not known yet."""
+        new = list(words)
+        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+            self.ids[w], self.strings_of[w] = self._entry(e.ids)
+            if not e.ids:
+                self.blank.add(w)
+
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit integers, decoded text) of each UTF-8 text."""
         if not self.plain:
             raise ValueError("word-wise decoding needs a vocabulary without a decoder")
-        split = [[w for w in _spaces.split(t) if w] for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        new = list({w for words in split for w in words} - memo.keys())
-        short = [w for w in new if len(w) <= LONG]
-        for w, e in zip(short, self.tokenizer.encode_batch(short, add_special_tokens=False), strict=True):
-            memo[w] = self._entry(e.ids)
-        own = {w: self._entry(encode_long(self.tokenizer, w)) for w in new if len(w) > LONG}
+        if len(self.ids) > MEMO_WORDS:
+            self.ids, self.strings_of, self.blank = {}, {}, set()
+        split = [t.split() for t in texts]
+        ids, strings = self.ids, self.strings_of
+        found = set().union(*split).difference(ids)
+        long = {w for w in found if len(w) > LONG}
+        self._learn(found - long)
+        own = {w: self._entry(encode_long(self.tokenizer, w.decode())) for w in long}
         out = []
         for words in split:
-            got = [memo[w] if len(w) <= LONG else own[w] for w in words]
-            out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[0]])))
+            if own or not self.blank.isdisjoint(words):
+                got = [own[w] if w in own else (ids[w], strings[w]) for w in words]
+                out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[0]])))
+            else:
+                out.append((b"".join(map(ids.__getitem__, words)), b" ".join(map(strings.__getitem__, words))))
         return out
 
 
+_codecs: dict[str, Codec] = {}
+
+
+def codec_of(path: str) -> Codec:
+    """One codec, with its memory of words, per Python worker; a worker serves many tasks."""
+    if path not in _codecs:
+        _codecs[path] = Codec(path)
+    return _codecs[path]
+
+
 def encode_decode(docs: DataFrame, path: str, chunk: int = 1 << 20, digest: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit) and decoded text of every document; with digest, their count and SHA-256 only."""
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string")
-    codecs: dict[str, Codec] = {}
 
     def run(batches):
-        codec = codecs.setdefault(path, Codec(path))
+        codec = codec_of(path)
         for batch in batches:
             texts = batch.column(1)
-            sizes = np.cumsum([len(t) for t in texts.to_pylist()]) if len(texts) else np.zeros(0)
+            sizes = np.cumsum([len(t) for t in texts.to_pylist()]) if len(texts) else np.zeros(0, np.int64)
             lo = 0
             while lo < len(texts):
                 hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + chunk, "right")))
@@ -135,4 +154,4 @@ def encode_decode(docs: DataFrame, path: str, chunk: int = 1 << 20, digest: bool
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, *cols], names=[c.split()[0] for c in schema.split(", ")])
                 lo = hi
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, schema)
