@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, near_dedup, packing, quality_rules, sharding, suffix_dedup, url_filters
+from . import ann, bpe, near_dedup, packing, quality_rules, sharding, suffix_dedup, url_filters
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 BYTE_BPE_SPECIAL = {"<|endoftext|>": 50256}
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: F.pmod(vec_id, F.lit(50)) == 0, 5)
+
+
 def packed(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
     pieces = packing.token_pieces(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, BYTE_BPE_SPECIAL, CAPACITY, END_ID, keep_ids)
     return packing.pack(pieces, CAPACITY)
@@ -103,6 +107,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_nearest_neighbours": op2_nearest_neighbours,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_url_filters": op4_url_filters,
     "op5_suffix_dedup": op5_suffix_dedup,
