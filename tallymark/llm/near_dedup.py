@@ -7,9 +7,11 @@ probability 0.06, four miss it with about 1e-5. Nodes of up to ``small`` classes
 sketches; larger ones branch further, and what is still large after ``deeper`` levels (dense clusters do not split) is compared
 exhaustively too, in pairs of blocks spread over tasks. Nothing is capped.
 
-Candidates become links only by an exact count on full sets, in two passes: first each class's best candidate, which
-joins up the clusters, then every candidate pair between classes that are still apart. So a cluster of copies costs links in
-proportion to its size, and no pair that could join two components is left out. Sets travel only for classes with candidates.
+Candidates become links only by an exact count on full sets, in two passes. First each class's best candidate is confirmed,
+which joins up most clusters. Then the classes that candidates connect, confirmed or not, form groups; a group whose classes
+are not all linked yet is cut into blocks of about 128, and each pair of blocks that could still join two components is one
+unit of work: exact intersections by matrix product, of which only a spanning forest of links comes out. So no pair is ever
+emitted for being in the same group, and none that could join two components is left out. Sets travel only for candidates.
 
 Defined results: null or wordless texts have an empty set and link with nothing; equal sets are linked; repeated rows and ids
 are rows of one class; ties go to the smaller id; an empty table gives an empty result; only id and text are read.
@@ -41,6 +43,7 @@ class Options:
     depth: int = 3
     small: int = 2048
     deeper: int = 2
+    block: int = 128
 
     @property
     def least_matches(self) -> int:
@@ -287,6 +290,108 @@ def confirm(edges: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
     return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def candidate_groups(best: DataFrame, members: DataFrame, options: Options, scratch: Scratch) -> DataFrame:
+    """(v, label): the components of the candidate graph, by rounds of best candidates outside the own component (Boruvka)."""
+    edges = best.select(F.col("v").alias("a"), F.col("w").alias("b"))
+    while True:
+        labels = connected_components(edges, scratch)
+        named = members.join(labels.withColumnRenamed("v", "key"), "key")
+        fresh = scratch.save(candidate_pairs(named, options, True).groupBy("v").agg(F.max(F.struct("matches", (-F.col("w")).alias("w"))).alias("m")).select("v", (-F.col("m.w")).alias("w")))
+        if not fresh.limit(1).count():
+            return labels
+        edges = labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(fresh.select(F.col("v").alias("a"), F.col("w").alias("b")))
+
+
+def block_pairs(classes: DataFrame, options: Options, scratch: Scratch) -> DataFrame:
+    """(pair, key, label): classes(key, grp, label) dealt to the pairs of blocks of their group that may hold links between labels.
+
+    A label with half a block of classes has blocks of its own, and no pair is made of two blocks of one label.
+    """
+    half = max(options.block // 2, 1)
+    sizes = scratch.save(classes.groupBy("grp", "label").agg(F.count("*").alias("n")))
+    mixed = scratch.save(sizes.groupBy("grp").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") < half, F.col("n"))).alias("pooled")).where("labels > 1"))
+    sizes = sizes.join(mixed, "grp").withColumn("own", F.col("n") >= half).withColumn("blocks", F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("pooled")) / options.block).cast("int"))
+    sizes = scratch.save(sizes.select("grp", "label", "own", "blocks"))
+    name = lambda i: F.when(F.col("own"), F.xxhash64("label", i)).otherwise(F.xxhash64(F.lit("pool"), i))
+    every = sizes.select("grp", F.when(F.col("own"), F.col("label")).alias("owner"), "own", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
+    every = scratch.save(every.select("grp", "owner", name(F.col("i")).alias("blk")).distinct())
+    other = every.select("grp", F.col("owner").alias("owner2"), F.col("blk").alias("blk2"))
+    pairs = every.join(other, "grp").where("blk <= blk2 AND (owner IS NULL OR owner2 IS NULL OR owner <> owner2)")
+    pairs = pairs.select("grp", F.xxhash64("grp", "blk", "blk2").alias("pair"), F.explode(F.array_distinct(F.array("blk", "blk2"))).alias("blk"))
+    dealt = scratch.save(classes.join(sizes, ["grp", "label"]).select("grp", "key", "label", name(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).alias("blk")))
+    return scratch.save(dealt.join(scratch.save(pairs), ["grp", "blk"]).select("pair", "key", "label"))
+
+
+def block_links(dealt: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
+    """(a, b): a spanning forest of the exact links between labels within each pair of blocks."""
+
+    def links(key, label, shingles):
+        m = len(key)
+        sizes = np.array([len(s) for s in shingles])
+        values, at = np.unique(np.concatenate(shingles), return_inverse=True)
+        row = np.repeat(np.arange(m), sizes)
+        often = np.bincount(at, minlength=len(values)) > 1  # a shingle of one set alone meets nothing
+        place = np.cumsum(often) - 1
+        keep = often[at]
+        row, at = row[keep], place[at[keep]]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        both = np.zeros((m, m), np.float32)
+        for lo in range(0, int(often.sum()), 4096):
+            a, b = np.searchsorted(at, [lo, lo + 4096])
+            part = np.zeros((m, 4096), np.float32)
+            part[row[a:b], at[a:b] - lo] = 1
+            both += part @ part.T
+        both = np.rint(both).astype(np.int64)
+        near = options.denominator * both >= options.numerator * (sizes[:, None] + sizes[None, :] - both)
+        i, j = np.nonzero(np.triu(near, 1) & (label[:, None] != label[None, :]))
+        parent: dict[int, int] = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for p, q in zip(i.tolist(), j.tolist(), strict=True):
+            x, y = root(int(label[p])), root(int(label[q]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                yield key[p], key[q]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            if not held:
+                return
+            t = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            pair, key, label = (t.column(c).to_numpy() for c in range(3))
+            edge = np.append(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), len(pair))
+            found = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                if b - a > 1:
+                    found += links(key[a:b], label[a:b], [np.frombuffer(s, np.uint64) for s in t.column(3).slice(a, b - a).to_pylist()])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 512):
+                batch = whole.slice(lo, 512)
+                pair = batch.column(0).to_numpy()
+                cut = int(np.flatnonzero(pair != pair[-1])[-1]) + 1 if pair[0] != pair[-1] else 0
+                if cut or (held and held[-1].column(0)[0].as_py() != pair[0]):
+                    if cut:
+                        held.append(batch.slice(0, cut))
+                    yield from flush()
+                held.append(batch.slice(cut))
+        yield from flush()
+
+    ready = dealt.join(sets, "key").select("pair", "key", "label", "shingles").repartition(F.col("pair")).sortWithinPartitions("pair", "key")
+    return ready.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
@@ -298,15 +403,13 @@ def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     best = scratch.save(best.groupBy("v").agg(F.max(F.struct("matches", (-F.col("w")).alias("w"))).alias("m")).select("v", (-F.col("m.w")).alias("w")))
     sets = scratch.save(full_sets(docs, best.join(reps.select(F.col("key").alias("v"), "first_id"), "v"), options))
     scratch.tidy()
-    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    links = scratch.save(confirm(best.select(*ordered("v", "w")).distinct(), sets, options))
+    links = scratch.save(confirm(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), sets, options))
     labels = connected_components(links, scratch)
-    apart = members.join(best.select(F.col("v").alias("key")), "key", "left_semi").join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    rest = scratch.save(candidate_pairs(apart, options, False).distinct())
-    if rest.limit(1).count():
-        more = scratch.save(confirm(rest, sets, options))
-        if more.limit(1).count():
-            labels = connected_components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more), scratch)
+    groups = candidate_groups(best, members, options, scratch)
+    classes = groups.select(F.col("v").alias("key"), F.col("label").alias("grp")).join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    more = scratch.save(block_links(block_pairs(scratch.save(classes), options, scratch), sets, options))
+    if more.limit(1).count():
+        labels = connected_components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more), scratch)
     classed = reps.select("key", "first_id").join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     smallest = scratch.save(classed.groupBy("label").agg(F.min("first_id").alias("component_id")))
     classed = scratch.save(classed.join(smallest, "label").select("key", "component_id"))
