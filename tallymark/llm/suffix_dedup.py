@@ -6,7 +6,8 @@ hash, and equal strings have equal anchors at the same place; so the strings of
 moves. Equal segments are then counted and merged, so copies of a document or passage cost one segment however many there
 are, and the distinct segments of an anchor meet in one block, where the transform's intervals are expanded backward,
 breadth-first, to find every start whose string is repeated. An anchor with very many distinct segments (the edges of a passage
-that many documents share) is not gathered: its strings are counted exactly by content, start by start, across tasks.
+that many documents share) is not gathered: its segments are cut again at anchors of 180 bytes, which parts them by context and
+merges what is inside the passage, and only strings at anchors that are still crowded are counted by content across tasks.
 
 Texts are shuffled twice, by document: to cut out one representative of each segment, and to cut out what is removed.
 
@@ -21,7 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bwt
@@ -29,7 +30,7 @@ from . import kernels as K
 from .scratch import Scratch
 
 U64 = np.uint64
-ANCHOR = 100
+ANCHOR, FINE_ANCHOR = 100, 180
 HOT_SEGMENTS = 512
 BLOCK_BYTES = 2 << 20
 NO_ID = -(1 << 63)
@@ -84,8 +85,8 @@ def segments_of(texts: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, s, n, groups, body): the bytes of one occurrence of each segment."""
-    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("h", "s", "n", "groups", "at", "width")).alias("parts"))
+    """(h, s, n, crowd, body): the bytes of one occurrence of each segment."""
+    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("h", "s", "n", "crowd", "at", "width")).alias("parts"))
 
     def run(batches):
         for batch in batches:
@@ -94,9 +95,9 @@ def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 parts = batch.column(1).slice(i, 1).flatten().flatten()
                 at, width = parts[4].to_numpy(), parts[5].to_numpy()
                 body = [text[a : a + w + length - 1] for a, w in zip(at.tolist(), width.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*parts[:4], pa.array(body, pa.binary())], names=["h", "s", "n", "groups", "body"])
+                yield pa.RecordBatch.from_arrays([*parts[:4], pa.array(body, pa.binary())], names=["h", "s", "n", "crowd", "body"])
 
-    return texts.select("d", F.crc32("text").alias("t"), "text").join(lists, ["d", "t"]).select("text", "parts").mapInArrow(run, "h long, s long, n long, groups long, body binary")
+    return texts.select("d", F.crc32("text").alias("t"), "text").join(lists, ["d", "t"]).select("text", "parts").mapInArrow(run, "h long, s long, n long, crowd boolean, body binary")
 
 
 def expand(segments: DataFrame, length: int) -> DataFrame:
@@ -134,6 +135,36 @@ def expand(segments: DataFrame, length: int) -> DataFrame:
     return ready.mapInArrow(run, "h long, s long, starts array<int>")
 
 
+def crowded(distinct: DataFrame, hot: int, scratch: Scratch) -> DataFrame:
+    """distinct(h, s, ...) with `crowd`: whether the anchor has more than `hot` distinct segments."""
+    many = scratch.save(distinct.groupBy("h").count().where(F.col("count") > hot).select("h", F.lit(True).alias("crowd")))
+    return distinct.join(many, "h", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False)))
+
+
+def split_hot(segments: DataFrame, length: int, hot: int, scratch: Scratch) -> DataFrame:
+    """(h, s, starts) of crowded anchors, by way of finer anchors inside their segments."""
+    k = min(max(FINE_ANCHOR, length * 9 // 10), length)
+
+    def cut(batches):
+        for batch in batches:
+            bodies = batch.column(3).to_pylist()
+            off = np.append(0, np.cumsum([len(b) for b in bodies])).astype(np.int64)
+            raw = b"".join(bodies)
+            owner, h, content, at, width = anchors(np.frombuffer(raw, np.uint8), off, length, k)
+            own = pa.array(owner, pa.int64())
+            body = [raw[a : a + w + length - 1] for a, w in zip((off[owner] + at).tolist(), width.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(j).take(own) for j in (0, 1, 2)), pa.array(at.astype(np.int32), pa.int32()), pa.array(h.view(np.int64), pa.int64()), pa.array(content.view(np.int64), pa.int64()), pa.array(body, pa.binary())], names=["h0", "s0", "n", "at", "h", "s", "body"])
+
+    parts = scratch.save(segments.select("h", "s", "n", "body").mapInArrow(cut, "h0 long, s0 long, n long, at int, h long, s long, body binary"))
+    distinct = scratch.save(parts.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min("body").alias("body")))
+    repeated = scratch.save(distinct.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1").select("h"))
+    finer = scratch.save(crowded(distinct.join(repeated, "h"), hot, scratch))
+    hits = expand(finer.where("NOT crowd"), length).unionByName(count_hot(finer.where("crowd"), length))
+    back = parts.select("h0", "s0", "at", "h", "s").join(scratch.save(hits), ["h", "s"])
+    starts = F.array_distinct(F.flatten(F.collect_list(F.transform("starts", lambda x: x + F.col("at")))))
+    return back.groupBy(F.col("h0").alias("h"), F.col("s0").alias("s")).agg(starts.alias("starts"))
+
+
 def count_hot(segments: DataFrame, length: int) -> DataFrame:
     """The same for anchors with too many distinct segments to gather: strings counted by (anchor, place, content)."""
 
@@ -165,15 +196,18 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT_SEGMENTS,
     repeated = scratch.save(found.groupBy("h").count().where("count > 1").select("h"))
     places = scratch.save(found.join(repeated, "h").select("h", "s", "d", "t", "at", "width"))
     scratch.tidy()
+    scratch.drop(repeated)
     distinct = places.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "at", "width")).alias("o"))
-    distinct = distinct.select("h", "s", "n", "o.*", F.count("*").over(Window.partitionBy("h")).alias("groups"))
-    segments = scratch.save(cut_segments(texts, distinct, length))
+    distinct = scratch.save(distinct.select("h", "s", "n", "o.*"))
+    segments = scratch.save(cut_segments(texts, crowded(distinct, hot, scratch), length))
     scratch.tidy()
-    hits = expand(segments.where(F.col("groups") <= hot), length)
-    large = segments.where(F.col("groups") > hot)
+    hits = expand(segments.where("NOT crowd"), length)
+    large = segments.where("crowd")
     if large.limit(1).count():
-        hits = hits.unionByName(count_hot(large, length))
+        hits = hits.unionByName(split_hot(large, length, hot, scratch))
     hits = scratch.save(hits)
+    scratch.drop(segments, distinct)
+    scratch.tidy()
     covers = places.join(hits, ["h", "s"]).select("d", "t", "at", "starts")
     spans = covers.groupBy("d", "t").agg(F.collect_list(F.struct("at", "starts")).alias("covers"))
 
