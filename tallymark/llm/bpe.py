@@ -1,7 +1,7 @@
 """Exact BPE encoding and decoding of whole texts, with tree concatenation for long unsplit text.
 
 The vocabulary drops white space, so ASCII white space is an exact cut and every word between two cuts can be encoded on its
-own; words repeat, and a worker remembers the ids of those it has met. A long run without white space is encoded as a tree:
+own, most of them pre-token by pre-token; these units repeat, and a worker remembers the ids of those it has met. A long run without white space is encoded as a tree:
 its halves, in parallel, down to leaves, then a growing window around each join is encoded again until it agrees with the
 left half at its left end and with the right half at its right end. Two adjacent tokens of one valid encoding stay valid
 neighbours, so a window that agrees on a pair of tokens on both sides gives exactly the encoding of the whole.
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
+
 LEAF, LONG = 1024, 4096
 MEMO_WORDS = 500_000
 Token = tuple[int, int, int]
@@ -79,6 +81,45 @@ def encode_long(tokenizer, text: str, leaf: int = LEAF) -> list[int]:
     return [t[0] for t in parts[0][2]]
 
 
+LETTER, DIGIT, MARK, ODD = 1, 2, 3, 9
+_CLASS = np.full(256, ODD, np.uint8)
+_CLASS[0x21:0x7F] = MARK
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+_CLASS[0x30:0x3A] = DIGIT
+_CLASS[0x27] = ODD  # an apostrophe may open a contraction
+
+
+def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of what can be encoded on its own.
+
+    Words of ASCII and Latin-1 letters, digits and marks are lower-cased and cut where the vocabulary's pre-tokenizer cuts
+    them: into runs of letters, single digits and runs of marks. Any other word is one unit, left as it is.
+    """
+    starts, ends, _ = K.word_spans(buf, off)
+    kind = _CLASS[buf]
+    lead = np.flatnonzero(buf[:-1] == 0xC3)
+    lead = lead[(buf[lead + 1] & 0xC0 == 0x80) & (buf[lead + 1] != 0x97) & (buf[lead + 1] != 0xB7)]
+    kind[lead] = kind[lead + 1] = LETTER
+    special = np.flatnonzero((buf[:-1] == 0x3C) & (buf[1:] == 0x7C))
+    kind[special] = ODD
+    odd_before = np.append(0, np.cumsum(kind == ODD))
+    odd = odd_before[ends] > odd_before[starts]
+    folded = K.LOWER[buf]
+    upper = lead[folded[lead + 1] <= 0x9E] + 1
+    folded[upper] += 0x20
+    cut = np.zeros(len(buf) + 1, bool)
+    cut[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    owner, at = K.runs((ends - starts)[odd])
+    whole = starts[odd][owner] + at
+    folded[whole] = buf[whole]
+    cut[whole] = False
+    cut[starts] = True
+    inside = ~K.WHITE[buf]
+    begin = np.flatnonzero(cut[:-1] & inside)
+    stop = np.append(begin[1:], len(buf))
+    return folded, begin, np.minimum(stop, ends[np.searchsorted(starts, begin, "right") - 1]) if len(begin) else stop[:0]
+
+
 class Codec:
     """Encodes texts word by word, and decodes as the tokenizer's decode of all ids does: token strings joined by spaces."""
 
@@ -88,39 +129,50 @@ class Codec:
         self.strings = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.ids: dict[bytes, bytes] = {}
         self.strings_of: dict[bytes, bytes] = {}
-        self.blank: set[bytes] = set()
 
     def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
         return array("I", ids).tobytes(), b" ".join([self.strings[i] for i in ids])
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Enter words that are not known yet."""
-        new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
+    def _learn(self, units: list[bytes]) -> None:
+        for w, e in zip(units, self.tokenizer.encode_batch([w.decode() for w in units], add_special_tokens=False), strict=True):
             self.ids[w], self.strings_of[w] = self._entry(e.ids)
-            if not e.ids:
-                self.blank.add(w)
 
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each UTF-8 text."""
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[bytes, bytes]]:
+        """(ids as little-endian 32-bit integers, decoded text) of each UTF-8 text of a slice.
+
+        The slice's distinct units are encoded, or remembered; what they gave is then gathered for all units at once.
+        """
         if not self.plain:
             raise ValueError("word-wise decoding needs a vocabulary without a decoder")
         if len(self.ids) > MEMO_WORDS:
-            self.ids, self.strings_of, self.blank = {}, {}, set()
-        split = [t.split() for t in texts]
-        ids, strings = self.ids, self.strings_of
-        found = set().union(*split).difference(ids)
-        long = {w for w in found if len(w) > LONG}
-        self._learn(found - long)
-        own = {w: self._entry(encode_long(self.tokenizer, w.decode())) for w in long}
-        out = []
-        for words in split:
-            if own or not self.blank.isdisjoint(words):
-                got = [own[w] if w in own else (ids[w], strings[w]) for w in words]
-                out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[0]])))
-            else:
-                out.append((b"".join(map(ids.__getitem__, words)), b" ".join(map(strings.__getitem__, words))))
-        return out
+            self.ids, self.strings_of = {}, {}
+        buf, starts, ends = units(buf, off)
+        first = np.searchsorted(starts, off)
+        hashes = K.span_hash(K.prefix_hash(buf), starts, ends)
+        _, index, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = buf.tobytes()
+        words = [raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
+        new = set(words).difference(self.ids)
+        long = {w for w in new if len(w) > LONG}
+        self._learn(list(new - long))
+        for w in long:
+            self.ids[w], self.strings_of[w] = self._entry(encode_long(self.tokenizer, w.decode()))
+        ids, id_at = _gather([self.ids[w] for w in words], which, first, 4)
+        text, text_at = _gather([s + b" " if s else s for s in map(self.strings_of.__getitem__, words)], which, first, 1)
+        for w in long:
+            del self.ids[w], self.strings_of[w]
+        return [(ids[id_at[i] : id_at[i + 1]], text[text_at[i] : max(text_at[i + 1] - 1, text_at[i])]) for i in range(len(off) - 1)]
+
+
+def _gather(parts: list[bytes], which: np.ndarray, first: np.ndarray, width: int) -> tuple[bytes, np.ndarray]:
+    """The parts that `which` names, end to end, and the byte offsets of the texts whose words begin at `first`."""
+    flat = np.frombuffer(b"".join(parts), np.uint32 if width == 4 else np.uint8)
+    sizes = np.array([len(p) for p in parts], np.int64) // width
+    begin = np.cumsum(sizes) - sizes
+    counts = sizes[which]
+    at = np.append(0, np.cumsum(counts))
+    shift = np.repeat(begin[which] - at[:-1], counts)
+    return flat[shift + np.arange(len(shift))].tobytes(), at[first] * width
 
 
 _codecs: dict[str, Codec] = {}
@@ -133,25 +185,20 @@ def codec_of(path: str) -> Codec:
     return _codecs[path]
 
 
-def encode_decode(docs: DataFrame, path: str, chunk: int = 1 << 20, digest: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     """doc_id, ids (binary, little-endian 32-bit) and decoded text of every document; with digest, their count and SHA-256 only."""
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string")
 
     def run(batches):
         codec = codec_of(path)
         for batch in batches:
-            texts = batch.column(1)
-            sizes = np.cumsum([len(t) for t in texts.to_pylist()]) if len(texts) else np.zeros(0, np.int64)
-            lo = 0
-            while lo < len(texts):
-                hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + chunk, "right")))
-                got = codec.encode(texts.slice(lo, hi - lo).to_pylist())
+            for lo, hi, buf, off in K.text_slices(batch):
+                got = codec.encode(buf, off)
                 n = pa.array([len(i) // 4 for i, _ in got], pa.int64())
                 if digest:
                     cols = [pa.array([hashlib.sha256(i).hexdigest() for i, _ in got]), pa.array([hashlib.sha256(d).hexdigest() for _, d in got])]
                 else:
                     cols = [pa.array([i for i, _ in got], pa.binary()), pa.array([d.decode() for _, d in got])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), n, *cols], names=[c.split()[0] for c in schema.split(", ")])
-                lo = hi
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
