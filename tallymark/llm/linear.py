@@ -23,6 +23,7 @@ def ngrams(buf: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarr
     starts, ends, first = K.word_spans(buf, off)
     h = K.span_hash(prefix, starts, ends)
     pair = np.append(K.mix(h[:-1] * U64(3) + h[1:]), h[-1:]) if len(h) else h  # the last word of a text meets the next text's first: mended below
+    pair[:-1][h[:-1] == h[1:]] = U64(7)  # a word repeated at once is one feature, whatever the word
     last = first[1:][np.diff(first) > 0] - 1
     pair[last] = h[last]
     words = np.empty(2 * len(h), np.int32)
@@ -73,32 +74,39 @@ class Rows:
     @staticmethod
     def of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
         sizes = np.array([len(i) for i, _ in pairs], np.int64)
-        empty = np.zeros(0, np.int32), np.zeros(0, np.float32)
-        return Rows(np.concatenate([empty[0], *(i for i, _ in pairs)]), np.concatenate([empty[1], *(v for _, v in pairs)]), np.repeat(np.arange(len(pairs)), sizes), len(pairs))
+        index = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in pairs)])
+        value = np.concatenate([np.zeros(0, np.float32), *(v for _, v in pairs)])
+        return Rows(index, value, np.repeat(np.arange(len(pairs), dtype=np.int32), sizes), len(pairs))
 
-    def take(self, rows: np.ndarray) -> Rows:
-        new = np.full(self.n, -1)
-        new[rows] = np.arange(len(rows))
-        use = new[self.row] >= 0
-        order = np.argsort(new[self.row[use]], kind="stable")
-        return Rows(self.index[use][order], self.value[use][order], new[self.row[use]][order], len(rows))
+    def _chunks(self, size: int = 1 << 20):
+        for lo in range(0, len(self.index), size):
+            yield self.index[lo : lo + size], self.value[lo : lo + size], self.row[lo : lo + size]
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.index] * self.value, self.n)
+        out = np.zeros(self.n)
+        for index, value, row in self._chunks():
+            out += np.bincount(row, weights[index] * value, self.n)
+        return out
+
+    def pull(self, error: np.ndarray, buckets: int) -> np.ndarray:
+        out = np.zeros(buckets)
+        for index, value, row in self._chunks():
+            out += np.bincount(index, error[row] * value, buckets)
+        return out
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(rows: Rows, y: np.ndarray, buckets: int, steps: int = 80, rate: float = 1.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Class-balanced logistic regression by full-batch Adam."""
-    w, b = np.zeros(buckets), 0.0
+def train(rows: Rows, y: np.ndarray, buckets: int, use: np.ndarray, steps: int = 80, rate: float = 1.0, decay: float = 1e-5, start: tuple | None = None) -> tuple[np.ndarray, float]:
+    """Class-balanced logistic regression by full-batch Adam, on the rows where `use` holds."""
+    w, b = (start[0].copy(), start[1]) if start else (np.zeros(buckets), 0.0)
     m, v, mb, vb = np.zeros(buckets), np.zeros(buckets), 0.0, 0.0
-    share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))
+    share = use * np.where(y == 1, 0.5 / max((use & (y == 1)).sum(), 1), 0.5 / max((use & (y != 1)).sum(), 1))
     for t in range(1, steps + 1):
-        error = (sigmoid(rows.dot(w) + b) - y) * share
-        g = np.bincount(rows.index, error[rows.row] * rows.value, buckets) + decay * w / max(rows.n, 1)
+        error = (sigmoid(rows.dot(w) + b) - (y == 1)) * share
+        g = rows.pull(error, buckets) + decay * w / max(int(use.sum()), 1)
         gb = float(error.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb

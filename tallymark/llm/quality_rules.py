@@ -85,31 +85,47 @@ def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> dict | No
     if len(set(y.tolist())) < 2:
         return None
     rows = L.Rows.of([(r[-2], r[-1]) for r in got])
-    held = np.arange(len(got)) % 3 == 2
+    del got
+    held = np.arange(len(y)) % 3 == 2
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(got), bool)
-    fitted = np.flatnonzero(~held)
-    weights, bias = L.train(rows.take(fitted), y[fitted], L.BUCKETS)
-    check = np.flatnonzero(held) if held.any() else fitted
-    slope, shift = L.platt(rows.take(check).dot(weights) + bias, y[check])
+        held = np.zeros(len(y), bool)
+    weights, bias = L.train(rows, y, L.BUCKETS, ~held)
+    check = held if held.any() else ~held
+    slope, shift = L.platt((rows.dot(weights) + bias)[check], y[check])
     return {"weights": weights.astype(np.float32), "bias": bias, "slope": slope, "shift": shift}
 
 
+def verdicts(m: dict | None, rules: Rules, buf: np.ndarray, off: np.ndarray) -> tuple[dict, np.ndarray, np.ndarray | None, np.ndarray]:
+    """(counts, base_failed, p_good or None, kept) of the texts of a slice."""
+    s = word_stats(buf, off, rules.window)
+    failed = (s["n_words"] < rules.min_words) | (100 * s["n_repeat_words"] > rules.max_repeat_percent * s["n_words"])
+    if m is None:
+        return s, failed, None, ~failed
+    p = L.sigmoid(m["slope"] * L.scores(buf, off, m["weights"], m["bias"]) + m["shift"])
+    return s, failed, p, ~failed & (p >= rules.threshold)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, the five counts, base_failed, p_good (null without a model) and kept, for every row of docs(doc_id, text)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rules))
 
     def judge(batches):
-        m = model.value
         for batch in batches:
             for lo, hi, buf, off in K.text_slices(batch):
-                s = word_stats(buf, off, rules.window)
-                failed = (s["n_words"] < rules.min_words) | (100 * s["n_repeat_words"] > rules.max_repeat_percent * s["n_words"])
-                if m is None:
-                    p, good = pa.nulls(hi - lo, pa.float64()), ~failed
-                else:
-                    p = L.sigmoid(m["slope"] * L.scores(buf, off, m["weights"], m["bias"]) + m["shift"])
-                    good, p = ~failed & (p >= rules.threshold), pa.array(p)
+                s, failed, p, good = verdicts(model.value, rules, buf, off)
+                p = pa.nulls(hi - lo, pa.float64()) if p is None else pa.array(p)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(s[k].astype(np.int64)) for k in STATS), pa.array(failed), p, pa.array(good)], names=["doc_id", *STATS, "base_failed", "p_good", "kept"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(judge, SCHEMA)
+
+
+def keep_rows(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """The rows of docs that the rules keep, all their columns as they are: one scan, no join."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, rules))
+
+    def sieve(batches):
+        for batch in batches:
+            for lo, hi, buf, off in K.text_slices(batch):
+                yield batch.slice(lo, hi - lo).filter(pa.array(verdicts(model.value, rules, buf, off)[3]))
+
+    return docs.mapInArrow(sieve, docs.schema)
