@@ -1,30 +1,61 @@
-"""Connected components of an edge table by minimum labels with pointer jumping; nothing but two counts reaches the driver."""
+"""Connected components of an edge table; nothing but a yes or no reaches the driver."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+LINKS = "v long, r long, changed boolean"
+
+
+def _merge_locally(batches):
+    """Union-find over the links (v, r, jumped) of one partition: every vertex met points at the smallest id it is joined to here."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    given: dict[int, int] = {}
+    changed = False
+    for batch in batches:
+        v, r = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        changed = changed or bool(batch.column(2).to_numpy(zero_copy_only=False).any())
+        for a, b in zip(v, r, strict=True):
+            changed = changed or given.setdefault(a, b) != b
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    rows = [(x, root(x)) for x in list(parent)]
+    rows = [(x, y) for x, y in rows if x != y]
+    changed = changed or len(rows) != len(given) or any(given.get(x) != y for x, y in rows)
+    for lo in range(0, len(rows), 50_000):
+        part = rows[lo : lo + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64()), pa.array([changed] * len(part), pa.bool_())], names=["v", "r", "changed"])
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
-    """(v, label) for every end of edges(a, b): label is the smallest id reachable. Each round is a written table.
+    """(v, label): the smallest id reachable over edges(a, b), for every vertex but those that are smallest themselves.
 
-    Neighbours' labels are combined by a partial minimum before any exchange, so a vertex with very many edges is no hot key
-    of the aggregation; the joins read written tables on both sides, so adaptive execution can split their hot keys.
+    Links point from the larger to the smaller id and are dealt by the larger, so a hub is never a key. A round shortens every
+    link by one jump (a join of two written tables, whose hot keys adaptive execution can split) and merges what meets in a
+    partition; it ends when a round changes nothing.
     """
-    both = scratch.save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = scratch.save(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "v"))
+
+    def merged(links: DataFrame) -> DataFrame:
+        return scratch.save(links.repartition(F.col("v")).select("v", "r", "jumped").mapInArrow(_merge_locally, LINKS))
+
+    links = merged(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r"), F.lit(True).alias("jumped")))
     for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
-        hooked = scratch.save(labels.join(near, "v").select("v", F.least("label", "near").alias("label"), F.col("label").alias("old")))
-        # the label of the label; every label is itself a vertex
-        jumped = hooked.join(hooked.select(F.col("v").alias("label"), F.col("label").alias("up")), "label").select("v", F.least("label", "up").alias("label"), "old")
-        fresh = scratch.save(jumped)
-        scratch.drop(labels, hooked)
-        moved = fresh.where("label <> old").limit(1).count()
-        labels = fresh
-        if not moved:
-            return labels.select("v", "label")
+        up = links.select(F.col("v").alias("r"), F.col("r").alias("up"))
+        further = merged(links.select("v", "r").join(up, "r", "left").select("v", F.coalesce("up", "r").alias("r"), F.col("up").isNotNull().alias("jumped")))
+        scratch.drop(links)
+        links = further
+        if not links.where("changed").limit(1).count():
+            return links.select("v", F.col("r").alias("label"))
     raise RuntimeError("components did not settle")

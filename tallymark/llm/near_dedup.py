@@ -291,11 +291,14 @@ def confirm(edges: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
 
 
 def candidate_groups(best: DataFrame, members: DataFrame, options: Options, scratch: Scratch) -> DataFrame:
-    """(v, label): the components of the candidate graph, by rounds of best candidates outside the own component (Boruvka)."""
+    """(v, label): the components of the candidate graph, by rounds of best candidates outside the own component (Boruvka).
+
+    members has only classes with candidates; the smallest class of a component has no row, it is its own label.
+    """
     edges = best.select(F.col("v").alias("a"), F.col("w").alias("b"))
     while True:
         labels = connected_components(edges, scratch)
-        named = members.join(labels.withColumnRenamed("v", "key"), "key")
+        named = members.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         fresh = scratch.save(candidate_pairs(named, options, True).groupBy("v").agg(F.max(F.struct("matches", (-F.col("w")).alias("w"))).alias("m")).select("v", (-F.col("m.w")).alias("w")))
         if not fresh.limit(1).count():
             return labels
@@ -405,8 +408,10 @@ def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     scratch.tidy()
     links = scratch.save(confirm(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), sets, options))
     labels = connected_components(links, scratch)
-    groups = candidate_groups(best, members, options, scratch)
-    classes = groups.select(F.col("v").alias("key"), F.col("label").alias("grp")).join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    wanted = best.select(F.col("v").alias("key"))
+    groups = candidate_groups(best, scratch.save(members.join(wanted, "key", "left_semi")), options, scratch)
+    classes = wanted.join(groups.select(F.col("v").alias("key"), F.col("label").alias("grp")), "key", "left").join(labels.withColumnRenamed("v", "key"), "key", "left")
+    classes = classes.select("key", F.coalesce("grp", "key").alias("grp"), F.coalesce("label", "key").alias("label"))
     more = scratch.save(block_links(block_pairs(scratch.save(classes), options, scratch), sets, options))
     if more.limit(1).count():
         labels = connected_components(labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(more), scratch)
