@@ -7,8 +7,8 @@ probability 0.06, four miss it with about 1e-5. Nodes of up to ``small`` classes
 sketches; larger ones branch further, and what is still large after ``deeper`` levels (dense clusters do not split) is compared
 exhaustively too, in pairs of blocks spread over tasks. Nothing is capped.
 
-Candidates become links only by an exact count on full sets, in two passes. First each class's best candidate is confirmed,
-which joins up most clusters. Then the classes that candidates connect, confirmed or not, form groups; a group whose classes
+Candidates become links only by an exact count on full sets, in two passes. First each class's best candidate and the one of
+lowest key are confirmed, which joins up clusters of any size. Then the classes that candidates connect, confirmed or not, form groups; a group whose classes
 are not all linked yet is cut into blocks of about 128, and each pair of blocks that could still join two components is one
 unit of work: exact intersections by matrix product, of which only a spanning forest of links comes out. So no pair is ever
 emitted for being in the same group, and none that could join two components is left out. Sets travel only for candidates.
@@ -159,9 +159,10 @@ def node_members(reps: DataFrame, options: Options, scratch: Scratch) -> DataFra
         for batch in batches:
             sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
             small = (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in small], pa.binary())], names=["key", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in small], pa.binary())], names=["key", "first_id", "sketch"])
 
-    return scratch.save(out.join(reps.select("key", "sig").mapInArrow(sketch, "key long, sketch binary"), "key").select("node", "key", "sketch"))
+    sketches = reps.select("key", "sig", "first_id").mapInArrow(sketch, "key long, first_id long, sketch binary")
+    return scratch.save(out.join(sketches, "key").select("node", "key", "sketch", "first_id"))
 
 
 def _pairs(sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,15 +173,15 @@ def _pairs(sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return rows[owner], rows[owner] + 1 + step
 
 
-def candidate_pairs(members: DataFrame, options: Options, best_only: bool) -> DataFrame:
+def best_partners(members: DataFrame, options: Options) -> DataFrame:
     """Pairs of classes whose sketches agree enough within a node.
 
-    members(node, key, sketch, label): with best_only (v, w, matches), one best partner w of every class v of a node;
-    otherwise (a, b), all such pairs with different labels.
+    members(node, key, sketch, label, first_id): per class v of a node with partners of another label, its best partner w, how many
+    coordinates matches, the partner of lowest key, and v's first_id.
     """
     least = options.least_matches
 
-    def compare(key, label, sk, i, j):
+    def compare(label, sk, i, j):
         keep = label[i] != label[j]
         i, j = i[keep], j[keep]
         same = np.zeros(len(i), np.uint8)
@@ -193,11 +194,10 @@ def candidate_pairs(members: DataFrame, options: Options, best_only: bool) -> Da
         v, w, s = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([same, same]).astype(np.int64)
         order = np.lexsort((key[w], -s, v))
         v, w, s = v[order], w[order], s[order]
-        lead = np.ones(len(v), bool)
-        lead[1:] = v[1:] != v[:-1]
-        return v[lead], w[lead], s[lead]
+        lead = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        return v[lead], w[lead], s[lead], np.minimum.reduceat(key[w], lead)
 
-    def emit(node, key, label, sk):
+    def emit(node, key, label, first_id, sk):
         edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         sizes = np.diff(np.append(edge, len(node)))
         found = []
@@ -207,26 +207,21 @@ def candidate_pairs(members: DataFrame, options: Options, best_only: bool) -> Da
         while lot < len(chosen):
             upto = max(lot + 1, int(np.searchsorted(lots[chosen], (lots[chosen[lot - 1]] if lot else 0) + 200_000)))
             take = chosen[lot:upto]
-            found.append(compare(key, label, sk, *_pairs(sizes[take], edge[take])))
+            pairs = compare(label, sk, *_pairs(sizes[take], edge[take]))
+            if len(pairs[0]):
+                found.append(best(key, *pairs))
             lot = upto
         for g in np.flatnonzero(sizes > 48):
-            rows = np.arange(edge[g], edge[g] + sizes[g])
-            for lo in range(len(rows)):  # a row against the later ones: memory stays linear
-                if lo + 1 < len(rows):
-                    found.append(compare(key, label, sk, np.full(len(rows) - lo - 1, rows[lo]), rows[lo + 1 :]))
-            if not best_only:
-                continue
-            parts = [f for f in found if len(f[0])]
-            found = [tuple(np.concatenate([p[k] for p in parts]) for k in range(3))] if parts else []
-        found = [f for f in found if len(f[0])]
+            rows, pairs = np.arange(edge[g], edge[g] + sizes[g]), []
+            for lo in range(len(rows) - 1):  # a row against the later ones
+                pairs.append(compare(label, sk, np.full(len(rows) - lo - 1, rows[lo]), rows[lo + 1 :]))
+            i, j, same = (np.concatenate([p[k] for p in pairs]) for k in range(3))
+            if len(i):
+                found.append(best(key, i, j, same))
         if not found:
             return None
-        i, j, same = (np.concatenate([f[k] for f in found]) for k in range(3))
-        if best_only:
-            v, w, s = best(key, i, j, same)
-            return pa.RecordBatch.from_arrays([pa.array(key[v]), pa.array(key[w]), pa.array(s)], names=["v", "w", "matches"])
-        pairs = np.unique(np.stack([np.minimum(key[i], key[j]), np.maximum(key[i], key[j])], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+        v, w, s, low = (np.concatenate([f[k] for f in found]) for k in range(4))
+        return pa.RecordBatch.from_arrays([pa.array(key[v]), pa.array(key[w]), pa.array(s), pa.array(low), first_id.take(pa.array(v))], names=["v", "w", "matches", "low", "first_id"])
 
     def run(batches):
         held: list = []
@@ -247,12 +242,14 @@ def candidate_pairs(members: DataFrame, options: Options, best_only: bool) -> Da
             t = pa.Table.from_batches(held).combine_chunks()
             if t.num_rows:
                 sk = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
-                got = emit(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(3).to_numpy(), sk)
+                got = emit(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(3).to_numpy(), t.column(4).chunk(0), sk)
                 if got is not None:
                     yield got
 
     ready = members.repartition(F.col("node")).sortWithinPartitions("node", "key")
-    return ready.select("node", "key", "sketch", "label").mapInArrow(run, "v long, w long, matches long" if best_only else "a long, b long")
+    found = ready.select("node", "key", "sketch", "label", "first_id").mapInArrow(run, "v long, w long, matches long, low long, first_id long")
+    best_of = F.max(F.struct("matches", (-F.col("w")).alias("w"))).alias("m")
+    return found.groupBy("v").agg(best_of, F.min("low").alias("low"), F.first("first_id").alias("first_id")).select("v", (-F.col("m.w")).alias("w"), "low", "first_id")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, options: Options) -> DataFrame:
@@ -290,19 +287,24 @@ def confirm(edges: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
     return edges.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def ends(best: DataFrame) -> DataFrame:
+    """(a, b): both candidate pairs of every class of best(v, w, low)."""
+    return best.select(F.col("v").alias("a"), F.explode(F.array("w", "low")).alias("b"))
+
+
 def candidate_groups(best: DataFrame, members: DataFrame, options: Options, scratch: Scratch) -> DataFrame:
-    """(v, label): the components of the candidate graph, by rounds of best candidates outside the own component (Boruvka).
+    """(v, label): the components of the candidate graph, by rounds of candidates outside the own component (Boruvka).
 
     members has only classes with candidates; the smallest class of a component has no row, it is its own label.
     """
-    edges = best.select(F.col("v").alias("a"), F.col("w").alias("b"))
+    edges = ends(best)
     while True:
         labels = connected_components(edges, scratch)
         named = members.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        fresh = scratch.save(candidate_pairs(named, options, True).groupBy("v").agg(F.max(F.struct("matches", (-F.col("w")).alias("w"))).alias("m")).select("v", (-F.col("m.w")).alias("w")))
+        fresh = scratch.save(best_partners(named, options))
         if not fresh.limit(1).count():
             return labels
-        edges = labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(fresh.select(F.col("v").alias("a"), F.col("w").alias("b")))
+        edges = labels.select(F.col("v").alias("a"), F.col("label").alias("b")).unionByName(ends(fresh))
 
 
 def block_pairs(classes: DataFrame, options: Options, scratch: Scratch) -> DataFrame:
@@ -312,17 +314,20 @@ def block_pairs(classes: DataFrame, options: Options, scratch: Scratch) -> DataF
     """
     half = max(options.block // 2, 1)
     sizes = scratch.save(classes.groupBy("grp", "label").agg(F.count("*").alias("n")))
-    mixed = scratch.save(sizes.groupBy("grp").agg(F.count("*").alias("labels"), F.sum(F.when(F.col("n") < half, F.col("n"))).alias("pooled")).where("labels > 1"))
-    sizes = sizes.join(mixed, "grp").withColumn("own", F.col("n") >= half).withColumn("blocks", F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("pooled")) / options.block).cast("int"))
+    groups = scratch.save(sizes.groupBy("grp").agg(F.count("*").alias("labels"), F.sum("n").alias("all"), F.sum(F.when(F.col("n") < half, F.col("n"))).alias("pooled")).where("labels > 1").drop("labels"))
+    small = classes.join(groups.where(F.col("all") <= options.block), "grp").select(F.col("grp").alias("pair"), "key", "label")
+    if not groups.where(F.col("all") > options.block).limit(1).count():
+        return small
+    sizes = sizes.join(groups.where(F.col("all") > options.block), "grp").withColumn("own", F.col("n") >= half).withColumn("blocks", F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("pooled")) / options.block).cast("int"))
     sizes = scratch.save(sizes.select("grp", "label", "own", "blocks"))
     name = lambda i: F.when(F.col("own"), F.xxhash64("label", i)).otherwise(F.xxhash64(F.lit("pool"), i))
     every = sizes.select("grp", F.when(F.col("own"), F.col("label")).alias("owner"), "own", "label", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"))
     every = scratch.save(every.select("grp", "owner", name(F.col("i")).alias("blk")).distinct())
     other = every.select("grp", F.col("owner").alias("owner2"), F.col("blk").alias("blk2"))
     pairs = every.join(other, "grp").where("blk <= blk2 AND (owner IS NULL OR owner2 IS NULL OR owner <> owner2)")
-    pairs = pairs.select("grp", F.xxhash64("grp", "blk", "blk2").alias("pair"), F.explode(F.array_distinct(F.array("blk", "blk2"))).alias("blk"))
-    dealt = scratch.save(classes.join(sizes, ["grp", "label"]).select("grp", "key", "label", name(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).alias("blk")))
-    return scratch.save(dealt.join(scratch.save(pairs), ["grp", "blk"]).select("pair", "key", "label"))
+    pairs = scratch.save(pairs.select("grp", F.xxhash64("grp", "blk", "blk2").alias("pair"), F.explode(F.array_distinct(F.array("blk", "blk2"))).alias("blk")))
+    dealt = classes.join(sizes, ["grp", "label"]).select("grp", "key", "label", name(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).alias("blk"))
+    return dealt.join(pairs, ["grp", "blk"]).select("pair", "key", "label").unionByName(small)
 
 
 def block_links(dealt: DataFrame, sets: DataFrame, options: Options) -> DataFrame:
@@ -402,11 +407,10 @@ def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     rows = scratch.save(describe(docs, options))
     reps = scratch.save(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")))
     members = node_members(reps, options, scratch)
-    best = candidate_pairs(members.withColumn("label", F.col("key")), options, True)
-    best = scratch.save(best.groupBy("v").agg(F.max(F.struct("matches", (-F.col("w")).alias("w"))).alias("m")).select("v", (-F.col("m.w")).alias("w")))
-    sets = scratch.save(full_sets(docs, best.join(reps.select(F.col("key").alias("v"), "first_id"), "v"), options))
+    best = scratch.save(best_partners(members.withColumn("label", F.col("key")), options))
+    sets = scratch.save(full_sets(docs, best, options))
     scratch.tidy()
-    links = scratch.save(confirm(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), sets, options))
+    links = scratch.save(confirm(ends(best).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, options))
     labels = connected_components(links, scratch)
     wanted = best.select(F.col("v").alias("key"))
     groups = candidate_groups(best, scratch.save(members.join(wanted, "key", "left_semi")), options, scratch)
