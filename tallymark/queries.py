@@ -232,7 +232,7 @@ VECTOR = "CAST({sm} % {b} AS INTEGER)"
 
 
 def vector_sql(source: str) -> str:
-    wrapped = f"(sum(fp::UHUGEINT)::UHUGEINT % {WRAP})::UBIGINT"
+    wrapped = "(sum(fp::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT"
     return f"SELECT CAST({sm64_sql('id')} % {BUCKETS} AS INTEGER) AS bucket, count(*) AS n, bit_xor(fp) AS fp_xor, {signed(wrapped)} AS fp_sum, CAST(bit_xor(id) AS BIGINT) AS id_xor FROM ({BUCKET_ROWS} {source} t) GROUP BY 1"
 
 
