@@ -57,22 +57,22 @@ def range_ids(rows: DataFrame, keys: list[str], ends: DataFrame) -> DataFrame:
 
 
 def checksums(rows: DataFrame) -> DataFrame:
-    """(range_id, total, n) of rows(range_id, fp)."""
-    return rows.groupBy("range_id").agg(F.sum(F.col("fp").cast("decimal(20,0)")).cast("decimal(38,0)").alias("total"), F.count("*").alias("n"))
+    """(range_id, fp_total, row_count) of rows(range_id, fp)."""
+    return rows.groupBy("range_id").agg(F.sum(F.col("fp").cast("decimal(20,0)")).cast("decimal(38,0)").alias("fp_total"), F.count("*").alias("row_count"))
 
 
 def dirty(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(range_id, n) of the ranges whose checksum or count differs, n the larger count."""
-    left = a.select("range_id", F.col("total").alias("ta"), F.col("n").alias("na"))
-    both = left.join(b.select("range_id", F.col("total").alias("tb"), F.col("n").alias("nb")), "range_id", "full_outer")
-    return both.where(~(F.col("ta").eqNullSafe(F.col("tb")) & F.col("na").eqNullSafe(F.col("nb")))).select("range_id", F.greatest(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0))).alias("n"))
+    """(range_id, row_count) of the ranges whose checksum or count differs; row_count is the larger."""
+    left = a.select("range_id", F.col("fp_total").alias("ta"), F.col("row_count").alias("na"))
+    both = left.join(b.select("range_id", F.col("fp_total").alias("tb"), F.col("row_count").alias("nb")), "range_id", "full_outer")
+    return both.where(~(F.col("ta").eqNullSafe(F.col("tb")) & F.col("na").eqNullSafe(F.col("nb")))).select("range_id", F.greatest(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0))).alias("row_count"))
 
 
 def ntile_fences(rows: DataFrame, keys: list[str], fanout: int) -> DataFrame:
-    """(range_id, bucket, keys..., total, n): each range of rows(range_id, keys, fp) cut into `fanout` equal parts in one pass."""
+    """(range_id, bucket, keys..., fp_total, row_count): each range of rows(range_id, keys, fp) cut into `fanout` equal parts in one pass."""
     cut = F.ntile(fanout).over(Window.partitionBy("range_id").orderBy(*keys))
-    key = F.max(F.struct(*keys)).alias("k")
-    return rows.withColumn("bucket", cut).groupBy("range_id", "bucket").agg(key, F.sum(F.col("fp").cast("decimal(20,0)")).cast("decimal(38,0)").alias("total"), F.count("*").alias("n")).select("range_id", "bucket", "k.*", "total", "n")
+    key = F.max(F.struct(*keys)).alias("__k")
+    return rows.withColumn("bucket", cut).groupBy("range_id", "bucket").agg(key, F.sum(F.col("fp").cast("decimal(20,0)")).cast("decimal(38,0)").alias("fp_total"), F.count("*").alias("row_count")).select("range_id", "bucket", "__k.*", "fp_total", "row_count")
 
 
 def drill(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,7 +93,7 @@ def merkle_compare(source: DataFrame, target: DataFrame, keys: list[str], every:
     a, b = (scratch.save(range_ids(t, keys, ends)) for t in (source, target))
     for _ in range(rounds):
         bad = scratch.save(dirty(checksums(a), checksums(b)))
-        large = bad.where(F.col("n") > drill_cap)
+        large = bad.where(F.col("row_count") > drill_cap)
         a, b = (scratch.save(t.join(bad.select("range_id"), "range_id", "left_semi")) for t in (a, b))
         if not large.limit(1).count():
             break

@@ -172,24 +172,24 @@ def _(spark, sf_dir):
     return merkle.fences(keyed(spark, sf_dir)[0], ["k"], EVERY)
 
 
-@register("o77_range_checksums", f"{RANGES_SQL} SELECT range_id, CAST(total AS VARCHAR) AS total, n FROM ca")
+@register("o77_range_checksums", f"{RANGES_SQL} SELECT range_id, CAST(total AS VARCHAR) AS fp_total, n AS row_count FROM ca")
 def _(spark, sf_dir):
     a, _b = keyed(spark, sf_dir)
-    return merkle.checksums(merkle.range_ids(a, ["k"], merkle.fences(a, ["k"], EVERY))).withColumn("total", F.col("total").cast("string"))
+    return merkle.checksums(merkle.range_ids(a, ["k"], merkle.fences(a, ["k"], EVERY))).withColumn("fp_total", F.col("fp_total").cast("string"))
 
 
-@register("o81_dirty_ranges", f"{RANGES_SQL} SELECT coalesce(ca.range_id, cb.range_id) AS range_id, greatest(coalesce(ca.n, 0), coalesce(cb.n, 0)) AS n FROM ca FULL OUTER JOIN cb ON ca.range_id = cb.range_id WHERE ca.total IS DISTINCT FROM cb.total OR ca.n IS DISTINCT FROM cb.n")
+@register("o81_dirty_ranges", f"{RANGES_SQL} SELECT coalesce(ca.range_id, cb.range_id) AS range_id, greatest(coalesce(ca.n, 0), coalesce(cb.n, 0)) AS row_count FROM ca FULL OUTER JOIN cb ON ca.range_id = cb.range_id WHERE ca.total IS DISTINCT FROM cb.total OR ca.n IS DISTINCT FROM cb.n")
 def _(spark, sf_dir):
     a, b = keyed(spark, sf_dir)
     ends = merkle.fences(a, ["k"], EVERY)
     return merkle.dirty(*(merkle.checksums(merkle.range_ids(t, ["k"], ends)) for t in (a, b)))
 
 
-@register("o80_ntile_localisation", f"{RANGES_SQL} SELECT range_id, bucket, max(k) AS k, CAST(CAST(sum(fp) AS DECIMAL(38,0)) AS VARCHAR) AS total, count(*) AS n FROM (SELECT *, CAST(ntile(10) OVER (PARTITION BY range_id ORDER BY k) AS INTEGER) AS bucket FROM ra) GROUP BY range_id, bucket")
+@register("o80_ntile_localisation", f"{RANGES_SQL} SELECT range_id, bucket, max(k) AS k, CAST(CAST(sum(fp) AS DECIMAL(38,0)) AS VARCHAR) AS fp_total, count(*) AS row_count FROM (SELECT *, CAST(ntile(10) OVER (PARTITION BY range_id ORDER BY k) AS INTEGER) AS bucket FROM ra) GROUP BY range_id, bucket")
 def _(spark, sf_dir):
     a, _b = keyed(spark, sf_dir)
     rows = merkle.range_ids(a, ["k"], merkle.fences(a, ["k"], EVERY))
-    return merkle.ntile_fences(rows, ["k"], 10).withColumn("total", F.col("total").cast("string"))
+    return merkle.ntile_fences(rows, ["k"], 10).withColumn("fp_total", F.col("fp_total").cast("string"))
 
 
 @register("o82_merkle_compare", f"WITH a AS ({KEYED} orders), b AS ({KEYED} {target_sql('orders')} t) SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'source_only' WHEN a.k IS NULL THEN 'target_only' ELSE 'changed' END AS kind FROM a FULL OUTER JOIN b ON a.k = b.k WHERE a.fp IS DISTINCT FROM b.fp")
