@@ -24,6 +24,7 @@ from . import kernels as K
 
 LEAF, LONG = 1024, 4096
 MEMO_WORDS = 500_000
+SLICE_BYTES = 3 << 20  # more words share a look-up in a longer slice
 Token = tuple[int, int, int]
 _tokenizers: dict[str, object] = {}
 
@@ -192,7 +193,7 @@ def encode_decode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame
     def run(batches):
         codec = codec_of(path)
         for batch in batches:
-            for lo, hi, buf, off in K.text_slices(batch):
+            for lo, hi, buf, off in K.text_slices(batch, limit=SLICE_BYTES):
                 got = codec.encode(buf, off)
                 n = pa.array([len(i) // 4 for i, _ in got], pa.int64())
                 if digest:

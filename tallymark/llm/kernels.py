@@ -1,7 +1,7 @@
 """Numpy kernels over the raw UTF-8 buffer of an Arrow text column.
 
 Every kernel sees a *slice*: some whole texts laid end to end in one uint8 array, with
-``off[i]:off[i + 1]`` the bytes of text i. Slices are kept to a few MB so that the 8-byte
+``off[i]:off[i + 1]`` the bytes of text i. Slices are kept to about 1 MB so that the 8-byte
 temporaries of a worker stay small; a text longer than that is a slice of its own.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _MULT, _INV = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _BYTE_KEYS = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)

@@ -197,6 +197,26 @@ def best_partners(members: DataFrame, options: Options) -> DataFrame:
         lead = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
         return v[lead], w[lead], s[lead], np.minimum.reduceat(key[w], lead)
 
+    def best_in_large(key, label, sk, a, b):
+        """The same for one large node, row against later rows; memory is linear in the node."""
+        top, who, low = np.full(b - a, -1), np.zeros(b - a, np.int64), np.full(b - a, (1 << 63) - 1)
+        for i in range(a, b - 1):
+            same = (sk[i + 1 : b] == sk[i]).sum(1)
+            hit = np.flatnonzero((same >= least) & (label[i + 1 : b] != label[i]))
+            if not len(hit):
+                continue
+            n, j = same[hit], hit + i + 1 - a
+            better = j[(n > top[j]) | ((n == top[j]) & (key[i] < key[who[j]]))]
+            top[better], who[better] = same[better + a - i - 1], i
+            low[j] = np.minimum(low[j], key[i])
+            m = hit[np.lexsort((key[j + a], -n))[0]] + i + 1
+            k = i - a
+            if same[m - i - 1] > top[k] or (same[m - i - 1] == top[k] and key[m] < key[who[k]]):
+                top[k], who[k] = same[m - i - 1], m
+            low[k] = min(low[k], key[j + a].min())
+        v = np.flatnonzero(top >= 0)
+        return v + a, who[v], top[v], low[v]
+
     def emit(node, key, label, first_id, sk):
         edge = np.flatnonzero(np.append(True, node[1:] != node[:-1]))
         sizes = np.diff(np.append(edge, len(node)))
@@ -212,12 +232,9 @@ def best_partners(members: DataFrame, options: Options) -> DataFrame:
                 found.append(best(key, *pairs))
             lot = upto
         for g in np.flatnonzero(sizes > 48):
-            rows, pairs = np.arange(edge[g], edge[g] + sizes[g]), []
-            for lo in range(len(rows) - 1):  # a row against the later ones
-                pairs.append(compare(label, sk, np.full(len(rows) - lo - 1, rows[lo]), rows[lo + 1 :]))
-            i, j, same = (np.concatenate([p[k] for p in pairs]) for k in range(3))
-            if len(i):
-                found.append(best(key, i, j, same))
+            got = best_in_large(key, label, sk, edge[g], edge[g] + sizes[g])
+            if len(got[0]):
+                found.append(got)
         if not found:
             return None
         v, w, s, low = (np.concatenate([f[k] for f in found]) for k in range(4))
