@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import canonical as C
 from .functions import hashing as H
-from .operators import keyvalue, merkle, pushdown, reconcile, sketch
-from .plans import fleet
-from .spec import CUSTOMER, ORDERS, PART, PkType, TableSpec
+from .datagen import generate
+from .operators import estimators, keyvalue, merkle, pushdown, reconcile, sketch
+from .plans import fleet, run_summary
+from .sim import trials
+from .spec import CUSTOMER, ORDERS, PART, PkType, TableSpec, ValueType
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -273,10 +275,10 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(shard).agg(F.count("*").alias("n"))
 
 
-@register("o36_probe", f"SELECT p_partkey AS pk, {text_sql(PART)} AS canonical, md5({text_sql(PART)}) AS digest, {fp_of(text_sql(PART))} AS fp FROM part ORDER BY 1 LIMIT 100")
+@register("o36_probe", f"SELECT p_partkey AS pk, {text_sql(PART)} AS canonical, md5({text_sql(PART)}) AS digest, {fp_of(text_sql(PART))} AS fp FROM part ORDER BY 1")
 def _(spark, sf_dir):
     t = table(spark, sf_dir, "part")
-    return t.select(F.col("p_partkey").alias("pk"), C.row_text(PART).alias("canonical"), F.md5(C.row_text(PART)).alias("digest"), C.fingerprint(PART).alias("fp")).orderBy("pk").limit(100)
+    return t.select(F.col("p_partkey").alias("pk"), C.row_text(PART).alias("canonical"), F.md5(C.row_text(PART)).alias("digest"), C.fingerprint(PART).alias("fp")).orderBy("pk")
 
 
 def _fleet() -> None:
@@ -290,6 +292,51 @@ def _fleet() -> None:
 _fleet()
 
 
+@register("a20_run_summary", run_summary.checker_sql())
+def _(spark, sf_dir):
+    return run_summary.summarize(run_summary.derived_runs(table(spark, sf_dir, "events")))
+
+
+@register("o35_jump_keys", f"SELECT o_orderkey AS i, o_orderkey * 16 + ((o_orderkey * {generate.STEP} + {generate.SALT}) % {generate.PRIME}) % 16 AS k FROM orders")
+def _(spark, sf_dir):
+    i = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(i.alias("i"), generate.jump_key(i).alias("k"))
+
+
+@register("o30_base36", "SELECT c_custkey AS n, c_custkey AS back FROM customer")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), generate.from_base36(generate.base36(F.col("c_custkey"), 8)).alias("back"))
+
+
+@register("o60_generated_profile", None)
+def _(spark, sf_dir):
+    p = generate.Profile(20_000, 28, 2, 3, dirty_blocks=4, block=5_000)
+    spec = TableSpec((("key_01", PkType.INT64),), tuple((f"value_{k:02d}", t) for k, t in enumerate((ValueType.INT, ValueType.STRING, ValueType.DECIMAL4, ValueType.DATETIME_SEC))))
+    return reconcile.reconcile(generate.table(spark, p, "source"), generate.table(spark, p, "target"), spec, seed=5)
+
+
+@register("s14_streaming_estimate", """WITH s AS (SELECT event_id AS idx, user_id % 7 - 3 AS cnt FROM events), t AS (SELECT *, 8e0 * (idx + 1) / ((2e0 * idx + 3) * (2e0 * idx + 3)) AS q FROM s)
+SELECT avg((t.cnt - t.q * z.cnt) * (t.cnt - t.q * z.cnt) / (t.q * (1 - t.q))) AS d_hat FROM t, (SELECT cnt FROM s WHERE idx = 0) z WHERE t.idx >= 1""")
+def _(spark, sf_dir):
+    return estimators.streaming_estimate(table(spark, sf_dir, "events").select(F.col("event_id").alias("idx"), (F.col("user_id") % 7 - 3).alias("cnt")))
+
+
+@register("s03_trial_summary", None)
+def _(spark, sf_dir):
+    configs = [trials.Config(64, 40), trials.Config(64, 80, negative=-1), trials.Config(128, 100, degrees=trials.IRREGULAR)]
+    return trials.summary(trials.run(spark, configs, 300), configs)
+
+
+@register("s06_retry_success", None)
+def _(spark, sf_dir):
+    return trials.retry_success(spark, 64, [40, 80], [1.6, 1.8, 2.0], 150)
+
+
+@register("s12_pipelines", None)
+def _(spark, sf_dir):
+    return trials.pipelines(spark, [0, 10, 200], 40)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which orders differ between two copies, and how."""
     return QUERIES["o50_reconcile_orders"](spark, sf_dir)
