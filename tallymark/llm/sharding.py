@@ -3,7 +3,8 @@
 The atoms are groups of equal texts, ordered by a 64-bit hash of the text; 2^18 leading-bit blocks of that order bound what is
 gathered, however many groups there are (with fewer groups than blocks nearly every group is a block of its own). One SQL row
 holds the ordered block sizes; a nested ``aggregate`` binary-searches the smallest capacity that a greedy sweep can meet with
-the wanted number of shards, and a last sweep cuts there. Texts are read twice and never shuffled.
+the wanted number of shards. A last sweep cuts within that capacity, at the block nearest to each equal share that still leaves
+the rest to fit (a backward sweep tells which do), so the last shards are not short. Texts are read twice and never shuffled.
 
 Slots are numbered within (block, salt), so a block that holds a hot group is spread over all partitions, and offset by prefix
 counts. Defined results: a null text is an empty one (size 16, crc32 0) and groups with the empty texts; repeated rows each
@@ -29,10 +30,18 @@ def minimax_cuts(blocks: DataFrame, shards: int) -> tuple[int, list[int]]:
         named_struct('lo', greatest(largest, cast(ceil(total / {shards}) as bigint)), 'hi', greatest(largest, cast(ceil(total / {shards}) as bigint)) + largest),
         (s, i) -> if(s.lo >= s.hi, s, if({needed} <= {shards}, named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2), named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi))),
         s -> s.lo)"""
-    cut = """aggregate(a, named_struct('fill', 0L, 'cuts', cast(array() as array<bigint>)),
-        (t, x) -> if(t.fill + x.bytes <= capacity, named_struct('fill', t.fill + x.bytes, 'cuts', t.cuts), named_struct('fill', x.bytes, 'cuts', concat(t.cuts, array(x.block)))),
+    # least[k]: how few bytes the first shards - k shards may hold if k shards of this capacity are to take the rest
+    least = """aggregate(reverse(a), named_struct('fill', 0L, 'rest', total, 'least', cast(array() as array<bigint>)),
+        (t, x) -> if(t.fill + x.bytes <= capacity, named_struct('fill', t.fill + x.bytes, 'rest', t.rest - x.bytes, 'least', t.least),
+            named_struct('fill', x.bytes, 'rest', t.rest - x.bytes, 'least', concat(t.least, array(t.rest)))),
+        t -> t.least)"""
+    full = "t.fill + x.bytes > capacity"
+    due = f"(t.j < {shards} AND t.fill > 0 AND t.before >= coalesce(get(least, {shards} - t.j - 1), 0L) AND 2 * t.before + x.bytes > 2 * total / {shards} * t.j)"
+    cut = f"""aggregate(a, named_struct('j', 1, 'fill', 0L, 'before', 0L, 'cuts', cast(array() as array<bigint>)),
+        (t, x) -> if({full} OR {due}, named_struct('j', t.j + 1, 'fill', x.bytes, 'before', t.before + x.bytes, 'cuts', concat(t.cuts, array(x.block))),
+            named_struct('j', t.j, 'fill', t.fill + x.bytes, 'before', t.before + x.bytes, 'cuts', t.cuts)),
         t -> t.cuts)"""
-    got = row.withColumn("capacity", F.expr(search)).select("capacity", F.expr(cut).alias("cuts")).collect()[0]
+    got = row.withColumn("capacity", F.expr(search)).withColumn("least", F.expr(least)).select("capacity", F.expr(cut).alias("cuts")).collect()[0]
     return got["capacity"], list(got["cuts"])
 
 
