@@ -11,7 +11,7 @@ from .functions import canonical as C
 from .functions import hashing as H
 from .datagen import generate
 from .operators import estimators, keyvalue, merkle, pushdown, reconcile, sketch
-from .plans import fleet, run_summary
+from .plans import fleet, rollups, run_summary
 from .sim import trials
 from .spec import CUSTOMER, ORDERS, PART, PkType, TableSpec, ValueType
 
@@ -337,6 +337,39 @@ def _(spark, sf_dir):
     return trials.pipelines(spark, [0, 10, 200], 40)
 
 
+BENCH_RUNS = "SELECT user_id % 5 AS pair, event_type AS scenario, user_id % 3 AS network, user_id % 2 AS algorithm, event_id % 4 AS workers, CASE WHEN event_id % 6 = 0 THEN 'warm' ELSE 'measure' END AS phase, CASE WHEN event_id % 9 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN event_id % 14 <> 0 THEN 1 + abs(value) END AS e2e_s FROM events"
+
+
+def bench_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(BENCH_RUNS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+@register("o96_benchmark_rollup", f"SELECT pair, scenario, network, algorithm, count(*) AS n, median(e2e_s) AS median_s, min(e2e_s) AS min_s, max(e2e_s) AS max_s FROM ({BENCH_RUNS}) WHERE phase = 'measure' AND status = 'PASS' AND e2e_s IS NOT NULL GROUP BY ALL")
+def _(spark, sf_dir):
+    return rollups.benchmark_rollup(bench_runs(spark, sf_dir))
+
+
+@register("o97_repeat_gate", f"SELECT *, CASE WHEN n = 2 AND spread <= 0.15 THEN 'PASS' ELSE 'RERUN' END AS verdict FROM (SELECT network, algorithm, workers, count(*) AS n, max(e2e_s) / min(e2e_s) - 1 AS spread FROM ({BENCH_RUNS}) GROUP BY ALL)")
+def _(spark, sf_dir):
+    return rollups.repeat_gate(bench_runs(spark, sf_dir))
+
+
+@register("o37_value_signature", "SELECT event_id, lower(event_type) || chr(31) || CAST(CAST(round(CAST(value AS DECIMAL(24,6)) * 100, 0) AS DECIMAL(38,0)) AS VARCHAR) || chr(31) || CAST(user_id AS VARCHAR) || chr(31) || strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS signature FROM events")
+def _(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", rollups.value_signature(F.col("event_type"), F.col("value"), F.col("user_id"), F.col("ts")).alias("signature"))
+
+
+@register("o33_anonymised_series", "SELECT user_id, 'T' || substr(sha256('u' || user_id), 1, 8) AS alias FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", rollups.anonymise(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("alias")).distinct()
+
+
+@register("o06_sampled_fences", None)
+def _(spark, sf_dir):
+    return rollups.sampled_fences(table(spark, sf_dir, "orders"), "o_orderkey", 16)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which orders differ between two copies, and how."""
     return QUERIES["o50_reconcile_orders"](spark, sf_dir)

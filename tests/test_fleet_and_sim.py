@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark import queries
 from tallymark.datagen import generate
 from tallymark.operators import keyvalue, reconcile, sketch
-from tallymark.plans import fleet
+from tallymark.plans import fleet, rollups
 from tallymark.sim import trials
 from tallymark.sources import logs
 from tallymark.spec import PkType, TableSpec, ValueType
@@ -111,3 +111,16 @@ def test_streamed_sketch_equals_batch_sketch(spark, tmp_path):
     stream.maintain(source, str(tmp_path / "cells"), str(tmp_path / "check"), 64).awaitTermination()
     a, b = (sketch.to_arrays(s, 64) for s in (stream.current(spark, str(tmp_path / "cells")), sketch.sketch(rows, 64)))
     assert np.array_equal(a, b)
+
+
+def test_rollups(spark):
+    lines = spark.createDataFrame([("a", 1, "E29_RESULT n=1 s=2"), ("a", 5, "E29_RESULT n=7 s=9"), ("a", 9, "other n=8"), ("b", 2, "E29_RESULT n=3")], "file string, pos long, line string")
+    assert {r.file: r.fields for r in rollups.last_result(lines).collect()} == {"a": {"n": "7", "s": "9"}, "b": {"n": "3"}}
+    rows = spark.createDataFrame([(1, 2, 3), (1, None, 1), (2, 2, 5)], "b0 int, b1 int, total long")
+    assert [r.whole for r in rollups.bucket_integrity(rows, ["b0", "b1"], "total").collect()] == [True, True, False]
+    assert spark.sql("SELECT CAST(NULL AS STRING) AS s").select(rollups.anonymise(F.col("s")).alias("a")).collect()[0].a == "T_unknown"
+    grid = spark.createDataFrame([(1, 2), (1, 3)], "a int, b int")
+    assert rollups.missing_from_grid(grid.where("b = 2"), grid).collect()[0].b == 3
+    configs = [trials.Config(64, 52)]
+    got = rollups.failed_only_spread(trials.summary(trials.run(spark, configs, 300), configs)).collect()[0]
+    assert got.within
