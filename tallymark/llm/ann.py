@@ -140,6 +140,7 @@ def nearest(rows: DataFrame, is_query, k: int = 5, options: Options = Options(),
     """query_id, rank, vec_id, score: for each row where is_query holds, its k nearest found among all other rows."""
     spark = rows.sparkSession
     scratch = Scratch(spark, "ann")
+    K.small_batches(spark)
     good = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
     clean = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
     common = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()

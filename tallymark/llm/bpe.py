@@ -190,6 +190,8 @@ def encode_decode(docs: DataFrame, path: str, digest: bool = False) -> DataFrame
     """doc_id, ids (binary, little-endian 32-bit) and decoded text of every document; with digest, their count and SHA-256 only."""
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded string")
 
+    K.small_batches(docs.sparkSession)
+
     def run(batches):
         codec = codec_of(path)
         for batch in batches:

@@ -175,6 +175,7 @@ def passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, source_id, start_word, end_word, source_start, source_end, n_words, identity: one row per passage of a document that an earlier one has."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "chains")
+    K.small_batches(spark)
     reach = options.seed_words + options.window + options.min_words
     text = F.coalesce("text", F.lit("")).cast("binary")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text, F.lit(71)).alias("key"), text.alias("text"))

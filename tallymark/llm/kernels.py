@@ -23,6 +23,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark) -> None:
+    """Have Spark hand texts to Python in batches of at most 2,000 rows: both sides of the pipe hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, last row + 1, bytes, offsets from 0) of an Arrow batch; a null text counts as empty."""
     texts = batch.column(batch.schema.get_field_index(column))

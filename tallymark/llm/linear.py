@@ -149,6 +149,7 @@ def fetch_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, extr
 
     `ids` has at most the documented sample bound of rows, so both its broadcast and the collected rows are bounded.
     """
+    K.small_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *(F.col(c).cast("string").alias(f"__x{i}") for i, c in enumerate(extra)))
     chosen = chosen.join(F.broadcast(ids), "__id").select("__id", "__y", *(f"__x{i}" for i in range(len(extra))), "__text")
     schema = "__id long, __y int, " + "".join(f"__x{i} string, " for i in range(len(extra))) + "idx binary, val binary"

@@ -279,7 +279,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, options: Options) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets, at)), pa.array([sets[at[i] : at[i + 1]].tobytes() for i in range(len(at) - 1)], pa.binary())], names=["key", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(wanted.select("first_id"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").mapInArrow(run, "key long, shingles binary")
+    # the same kind of join at every size: a broadcast on small inputs only would make growth hard to read
+    found = texts.join(wanted.select("first_id").hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").mapInArrow(run, "key long, shingles binary")
     return found.dropDuplicates(["key"])
 
 
@@ -421,6 +422,7 @@ def near_duplicates(docs: DataFrame, options: Options = Options()) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
+    K.small_batches(spark)
     rows = scratch.save(describe(docs, options))
     reps = scratch.save(rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("sig").alias("sig")))
     members = node_members(reps, options, scratch)

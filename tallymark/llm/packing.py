@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .scratch import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
@@ -179,6 +180,8 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[s
     `special` strings in a text become their ids, as the vocabulary's own tokenizer file has it.
     """
 
+    K.small_batches(docs.sparkSession)
+
     def encode(text: str) -> np.ndarray:
         enc = ranked_encoder(ranks_path, pattern)
         parts = [text]

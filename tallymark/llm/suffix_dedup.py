@@ -190,6 +190,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT_SEGMENTS,
     """doc_id, n_bytes, spans (array of start, end in bytes) and kept (the remaining bytes) for every row of docs(doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
+    K.small_batches(spark)
     k = min(anchor, length)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     found = segments_of(texts, length, k)
