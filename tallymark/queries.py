@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from .functions import canonical as C
 from .functions import hashing as H
 from .datagen import generate
-from .operators import estimators, keyvalue, merkle, pushdown, reconcile, sketch
+from .operators import estimators, keyvalue, merkle, pushdown, rateless, reconcile, sketch
 from .plans import fleet, rollups, run_summary
-from .sim import trials
+from .sim import correlation, trials
 from .spec import CUSTOMER, ORDERS, PART, PkType, TableSpec, ValueType
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,6 +370,25 @@ def _(spark, sf_dir):
     return rollups.sampled_fences(table(spark, sf_dir, "orders"), "o_orderkey", 16)
 
 
+@register("s15_rateless_reconcile_orders", ORACLES["o51_full_outer_classify_orders"])
+def _(spark, sf_dir):
+    source, target, spec = copies(spark, sf_dir, "orders")
+    with reconcile.Session(source, spec) as a, reconcile.Session(target, spec) as b:
+        got, _n = rateless.reconcile_rateless(a.rows.select("fp", "id"), b.rows.select("fp", "id"))
+        found = [tuple(r) for r in reconcile.resolve(a, b, got).collect()]
+    return reconcile.recheck(source, target, spec, spark.createDataFrame(found, "pk string, on_source boolean, on_target boolean"))
+
+
+@register("s16_exact_sign", None)
+def _(spark, sf_dir):
+    return correlation.exact(spark, [(4, 2, 3), (5, 2, 4), (5, 3, 4), (6, 3, 3)])
+
+
+@register("s17_simulated_sign", None)
+def _(spark, sf_dir):
+    return correlation.simulated(spark, 6, 3, 3, 2000)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which orders differ between two copies, and how."""
     return QUERIES["o50_reconcile_orders"](spark, sf_dir)

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from tallymark import queries
 from tallymark.functions import canonical as C
 from tallymark.functions import hashing as H
-from tallymark.operators import decode, estimators, keyvalue, merkle, reconcile, sketch
+from tallymark.operators import decode, estimators, keyvalue, merkle, rateless, reconcile, sketch
+from tallymark.sim import correlation
 from tallymark.sources import codec
 from tallymark.spec import ORDERS, PkType, TableSpec, ValueType, pk_type, value_type
 
@@ -143,3 +144,25 @@ def test_estimators(spark):
 
 def test_every_query_of_the_library_is_checked():
     assert len(queries.ORACLES) >= 60 and set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_rateless_prefixes_decode(spark):
+    a = spark.range(3000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 56)).alias("fp"), "id")
+    b = a.where("id % 50 <> 7").unionByName(spark.range(5000, 5020).select(F.pmod(F.xxhash64("id"), F.lit(1 << 56)).alias("fp"), "id"))
+    got, used = rateless.reconcile_rateless(a, b, first=64, growth=1.5)
+    assert got.complete and {r for _, r in got.plus} == set(range(7, 3000, 50)) and {r for _, r in got.minus} == set(range(5000, 5020))
+    assert used <= 4 * 80
+    same, few = rateless.reconcile_rateless(a, a, first=8)
+    assert same.complete and few == 8 and not same.plus
+    stuck, cap = rateless.reconcile_rateless(a, b, first=4, cap=8)
+    assert not stuck.complete and cap == 8
+    whole = rateless.coded_symbols(a, 100)
+    parts = rateless.coded_symbols(a, 100, shards=4).groupBy("idx").agg(F.sum("cnt").alias("cnt"), *(F.bit_xor(c).alias(c) for c in ("fp_xor", "id_xor", "hash_xor")))
+    assert (rateless.to_array(whole, 100) == rateless.to_array(parts, 100)).all()
+
+
+def test_exact_and_simulated_signs_agree(spark):
+    for m, k, d in ((4, 2, 3), (5, 2, 4)):
+        one = correlation.exact(spark, [(m, k, d)]).collect()[0]
+        many = correlation.simulated(spark, m, k, d, 4000).collect()[0]
+        assert abs(many.failed / many.trials - one.p_fail) < 0.04 and abs(many.c_f - one.c_f) < 0.1
