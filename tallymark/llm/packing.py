@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .bpe import load
 from .scratch import Scratch
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
@@ -174,21 +175,29 @@ def ranked_encoder(ranks_path: str, pattern: str):
     return _encoders[ranks_path]
 
 
-def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, ranks_path: str, tokenizer_path: str, pattern: str, special: dict[str, int], capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
     """Pieces of at most `capacity` ids of every document: its ids, then end_id; only the first piece of a cut one may be shorter.
 
-    `special` strings in a text become their ids, as the vocabulary's own tokenizer file has it.
+    `special` strings in a text become their ids, as the vocabulary's own tokenizer file has it. The encoder of ranks gives the
+    ids of that tokenizer faster; where its pattern engine gives up (a million white-space characters in a row), the tokenizer runs.
     """
 
     K.small_batches(docs.sparkSession)
 
     def encode(text: str) -> np.ndarray:
         enc = ranked_encoder(ranks_path, pattern)
+
+        def ids(part: str) -> np.ndarray:
+            try:
+                return enc.encode_to_numpy(part, disallowed_special=()).astype(np.uint32)
+            except ValueError:
+                return np.array(load(tokenizer_path).encode(part, add_special_tokens=False).ids, np.uint32)
+
         parts = [text]
         for mark, number in special.items():
             if mark in text:
                 parts = [y for x in parts for y in ([x] if not isinstance(x, str) else [z for w in x.split(mark) for z in (w, number)][:-1])]
-        out = [np.array([x], np.uint32) if isinstance(x, int) else enc.encode_to_numpy(x, disallowed_special=()).astype(np.uint32) for x in parts]
+        out = [np.array([x], np.uint32) if isinstance(x, int) else ids(x) for x in parts]
         return np.concatenate([*out, np.array([end_id], np.uint32)])
 
     def pieces(batches):

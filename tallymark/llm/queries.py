@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import ann, bpe, chaining, cotraining, near_dedup, packing, quality_rules, sharding, suffix_dedup, url_filters
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 BYTE_BPE_SPECIAL = {"<|endoftext|>": 50256}
 WORD_BPE = "word_bpe_49k.json"
 CAPACITY, END_ID = 1024, 2
@@ -29,7 +30,7 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packed(docs: DataFrame, keep_ids: bool = False) -> DataFrame:
-    pieces = packing.token_pieces(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN, BYTE_BPE_SPECIAL, CAPACITY, END_ID, keep_ids)
+    pieces = packing.token_pieces(docs, public_tokenizers.path(BYTE_BPE), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.PATTERN, BYTE_BPE_SPECIAL, CAPACITY, END_ID, keep_ids)
     return packing.pack(pieces, CAPACITY)
 
 

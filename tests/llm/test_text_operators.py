@@ -117,6 +117,13 @@ def test_packing_is_whole_gapless_and_tight(spark, odd, odd_rows, none):
     assert packed(none).count() == 0
 
 
+def test_endless_white_space_is_packed_exactly(spark):
+    text = "a" + " " * 1_200_000 + "b"
+    rows = packed(spark.createDataFrame([(1, text)], "doc_id long, text string"), keep_ids=True).orderBy("piece").collect()
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [i for r in rows for i in r.ids] == [*whole.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_local_search_empties_bins():
     rng = np.random.default_rng(3)
     for _ in range(30):
