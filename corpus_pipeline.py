@@ -15,28 +15,34 @@ from pyspark.sql import functions as F
 from tallymark.llm import chaining, cotraining, near_dedup, quality_rules
 from tallymark.llm.queries import packed, table
 from tallymark.llm.scratch import Scratch
+from tallymark.workers import ready
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return quality_rules.keep_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def apply_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return cotraining.keep_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word-shingle near copies stays: that of the smallest id."""
+    ready(spark)
     kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
     stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
     return stay.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def apply_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return chaining.remove_passages(docs)
 
 
 def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ready(spark)
     return packed(docs).drop("ids")
 
 

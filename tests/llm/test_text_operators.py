@@ -140,7 +140,7 @@ def test_local_search_empties_bins():
             for k, v in b.items.items():
                 total[k] += v * b.count
         assert total == collections.Counter(sizes.tolist())
-    assert packing.exchange(collections.Counter([5, 3]), collections.Counter([7]), 1) == ([5, 3], [7])
+    assert packing.exchange(collections.Counter([5, 3]), collections.Counter([7]), 1) == ([3, 5], [7])
     assert packing.exchange(collections.Counter([9]), collections.Counter([7]), 2) == ([9], [7])
 
 
