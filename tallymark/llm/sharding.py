@@ -25,24 +25,26 @@ HOT_SHARE = 1000
 def minimax_cuts(blocks: DataFrame, shards: int) -> tuple[int, list[int]]:
     """(capacity, first block of every shard but the first) of blocks(block, bytes); at most 2^18 rows meet in one array."""
     row = blocks.agg(F.array_sort(F.collect_list(F.struct("block", "bytes"))).alias("a"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("total"), F.coalesce(F.max("bytes"), F.lit(0)).alias("largest"))
+    value = lambda expr: row.select(F.expr(expr).alias("x")).collect()[0]["x"]  # noqa: E731  one step each: nested in one plan, an inner sweep would run for every element of the outer
     needed = "aggregate(a, named_struct('n', 1, 'fill', 0L), (t, x) -> if(t.fill + x.bytes <= (s.lo + s.hi) div 2, named_struct('n', t.n, 'fill', t.fill + x.bytes), named_struct('n', t.n + 1, 'fill', x.bytes)), t -> t.n)"
     search = f"""aggregate(sequence(1, 62),
         named_struct('lo', greatest(largest, cast(ceil(total / {shards}) as bigint)), 'hi', greatest(largest, cast(ceil(total / {shards}) as bigint)) + largest),
         (s, i) -> if(s.lo >= s.hi, s, if({needed} <= {shards}, named_struct('lo', s.lo, 'hi', (s.lo + s.hi) div 2), named_struct('lo', (s.lo + s.hi) div 2 + 1, 'hi', s.hi))),
         s -> s.lo)"""
-    # least[k]: how few bytes the first shards - k shards may hold if k shards of this capacity are to take the rest
-    least = """aggregate(reverse(a), named_struct('fill', 0L, 'rest', total, 'least', cast(array() as array<bigint>)),
-        (t, x) -> if(t.fill + x.bytes <= capacity, named_struct('fill', t.fill + x.bytes, 'rest', t.rest - x.bytes, 'least', t.least),
+    capacity = value(search)
+    # least[k - 1]: how few bytes may stand before the last k shards if k shards of this capacity are to take the rest
+    least = value(f"""aggregate(reverse(a), named_struct('fill', 0L, 'rest', total, 'least', cast(array() as array<bigint>)),
+        (t, x) -> if(t.fill + x.bytes <= {capacity}L, named_struct('fill', t.fill + x.bytes, 'rest', t.rest - x.bytes, 'least', t.least),
             named_struct('fill', x.bytes, 'rest', t.rest - x.bytes, 'least', concat(t.least, array(t.rest)))),
-        t -> t.least)"""
-    full = "t.fill + x.bytes > capacity"
-    due = f"(t.j < {shards} AND t.fill > 0 AND t.before >= coalesce(get(least, {shards} - t.j - 1), 0L) AND 2 * t.before + x.bytes > 2 * total / {shards} * t.j)"
-    cut = f"""aggregate(a, named_struct('j', 1, 'fill', 0L, 'before', 0L, 'cuts', cast(array() as array<bigint>)),
+        t -> t.least)""")
+    floor = f"coalesce(get(array({', '.join(f'{n}L' for n in least) or '0L'}), {shards} - t.j - 1), 0L)"
+    full = f"t.fill + x.bytes > {capacity}L"
+    due = f"(t.j < {shards} AND t.fill > 0 AND t.before >= {floor} AND 2 * t.before + x.bytes > 2 * total / {shards} * t.j)"
+    cuts = value(f"""aggregate(a, named_struct('j', 1, 'fill', 0L, 'before', 0L, 'cuts', cast(array() as array<bigint>)),
         (t, x) -> if({full} OR {due}, named_struct('j', t.j + 1, 'fill', x.bytes, 'before', t.before + x.bytes, 'cuts', concat(t.cuts, array(x.block))),
             named_struct('j', t.j, 'fill', t.fill + x.bytes, 'before', t.before + x.bytes, 'cuts', t.cuts)),
-        t -> t.cuts)"""
-    got = row.withColumn("capacity", F.expr(search)).withColumn("least", F.expr(least)).select("capacity", F.expr(cut).alias("cuts")).collect()[0]
-    return got["capacity"], list(got["cuts"])
+        t -> t.cuts)""")
+    return capacity, list(cuts)
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16) -> DataFrame:
@@ -57,7 +59,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 40, overhead: int = 16) -> Dat
         F.shiftrightunsigned(F.xxhash64(text), 64 - BLOCK_BITS).alias("block"),
     )
     saved = scratch.save(rows)
-    blocks = saved.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    blocks = scratch.save(saved.groupBy("block").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")))
     _, cuts = minimax_cuts(blocks, shards)
     total = saved.count()
     hot = [r["block"] for r in blocks.where(F.col("n") * HOT_SHARE > total).select("block").collect()]
