@@ -47,8 +47,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
     partition; it ends when a round changes nothing.
     """
 
+    cores = edges.sparkSession.sparkContext.defaultParallelism
+
     def merged(links: DataFrame) -> DataFrame:
-        return scratch.save(links.repartition(F.col("v")).select("v", "r", "jumped").mapInArrow(_merge_locally, LINKS))
+        """As many tasks as cores: the more links meet in one, the fewer rounds; their number follows the cluster, not a constant."""
+        dealt = links.repartition(F.col("v")).coalesce(cores)
+        return scratch.save(dealt.select("v", "r", "jumped").mapInArrow(_merge_locally, LINKS))
 
     links = merged(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r"), F.lit(True).alias("jumped")))
     for _ in range(rounds):
