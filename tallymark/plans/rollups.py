@@ -18,7 +18,7 @@ def repeat_gate(runs: DataFrame, limit: float = 0.15, repeats: int = 2) -> DataF
     return got.withColumn("verdict", F.when((F.col("n") == repeats) & (F.col("spread") <= limit), "PASS").otherwise("RERUN"))
 
 
-def last_result(lines: DataFrame, marker: str = "E29_RESULT") -> DataFrame:
+def last_result(lines: DataFrame, marker: str = "RESULT") -> DataFrame:
     """(file, fields) from lines(file, pos, line): the key=value pairs of the last marked line of each file."""
     marked = lines.where(F.col("line").startswith(marker)).withColumn("fields", F.substring("line", len(marker) + 2, 1 << 30))
     return marked.groupBy("file").agg(F.max_by("fields", "pos").alias("fields")).withColumn("fields", F.str_to_map("fields", F.lit(" "), F.lit("=")))

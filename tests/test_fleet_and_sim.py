@@ -114,7 +114,7 @@ def test_streamed_sketch_equals_batch_sketch(spark, tmp_path):
 
 
 def test_rollups(spark):
-    lines = spark.createDataFrame([("a", 1, "E29_RESULT n=1 s=2"), ("a", 5, "E29_RESULT n=7 s=9"), ("a", 9, "other n=8"), ("b", 2, "E29_RESULT n=3")], "file string, pos long, line string")
+    lines = spark.createDataFrame([("a", 1, "RESULT n=1 s=2"), ("a", 5, "RESULT n=7 s=9"), ("a", 9, "other n=8"), ("b", 2, "RESULT n=3")], "file string, pos long, line string")
     assert {r.file: r.fields for r in rollups.last_result(lines).collect()} == {"a": {"n": "7", "s": "9"}, "b": {"n": "3"}}
     rows = spark.createDataFrame([(1, 2, 3), (1, None, 1), (2, 2, 5)], "b0 int, b1 int, total long")
     assert [r.whole for r in rollups.bucket_integrity(rows, ["b0", "b1"], "total").collect()] == [True, True, False]
