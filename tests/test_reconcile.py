@@ -166,3 +166,12 @@ def test_exact_and_simulated_signs_agree(spark):
         one = correlation.exact(spark, [(m, k, d)]).collect()[0]
         many = correlation.simulated(spark, m, k, d, 4000).collect()[0]
         assert abs(many.failed / many.trials - one.p_fail) < 0.04 and abs(many.c_f - one.c_f) < 0.1
+
+
+def test_scans_read_only_named_columns(spark):
+    source, target, spec = copies(spark)
+    plan = sketch.sketch(sketch.fingerprints(source, spec), 64)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<o_orderkey" in plan and "o_orderdate" not in plan
+    assert plan.count("Exchange") == 1  # partial sketches meet once
+    lines = queries.table(spark, SF, "lineitem").where("l_shipdate < timestamp_ntz'1995-01-01'").select("l_orderkey")
+    assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate" in lines._jdf.queryExecution().executedPlan().toString()
