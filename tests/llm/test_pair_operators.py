@@ -177,3 +177,25 @@ def test_url_filters(spark):
     assert collections.Counter(map(tuple, got)) == collections.Counter((p[0], p[3], p[4]) for p in pages)
     assert url_filters.filter_urls(captures.where("false"), listed).count() == 0
     assert {r.verdict for r in url_filters.filter_urls(captures, listed.where("false")).collect()} == {"pass"}
+
+
+def test_forest_recall_on_isotropic_vectors():
+    """The hardest case for planes: no direction tells more than another."""
+    rng = np.random.default_rng(6)
+    x = ann.unit(rng.standard_normal((12_000, 48)))
+    forest = ann.Forest(x[:6000], ann.Options(), len(x))
+    leaves = collections.defaultdict(list)
+    for keys in forest.route(x):
+        for i, k in enumerate(keys.tolist()):
+            leaves[k].append(i)
+    assert forest.extra == 0 and sum(map(len, leaves.values())) == 8 * len(x)  # every row in one leaf of every tree
+    hit = 0
+    for q in range(0, 12_000, 300):
+        found = {i for k in forest.search(x[q]) for i in leaves.get(k, ())}
+        score = x @ x[q]
+        score[q] = -2
+        hit += len(found & set(np.argsort(-score)[:5].tolist()))
+    assert hit / (5 * 40) >= 0.9
+    deep = ann.Forest(x[:500], ann.Options(rows_per_leaf=16), len(x))
+    assert deep.extra > 0 and len(set(deep.route(x)[0].tolist())) > 2 * len(deep.centres[0])
+    assert len(deep.search(x[0])) == ann.Options().visits or len(deep.search(x[0])) == 8 * len(deep.centres[0]) << deep.extra
