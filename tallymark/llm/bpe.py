@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import kernels as K
 
 LEAF, LONG = 1024, 4096
-MEMO_WORDS = 500_000
-SLICE_BYTES = 3 << 20  # more words share a look-up in a longer slice
+MEMO_WORDS = 150_000
+SLICE_BYTES = 3 << 19  # more words share a look-up in a longer slice
 Token = tuple[int, int, int]
 _tokenizers: dict[str, object] = {}
 
