@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
+from ..spec import TableSpec
+from . import reconcile as R
 from .decode import Decoded
 
 U64 = np.uint64
@@ -99,3 +101,13 @@ def reconcile_rateless(source: DataFrame, target: DataFrame, first: int = 64, ca
             count = min(cap, int(count * growth))
     finally:
         both.unpersist()
+
+
+def reconcile_tables(source: DataFrame, target: DataFrame, spec: TableSpec, **options) -> DataFrame:
+    """(pk, kind) of every row that differs; where no prefix up to the cap decodes, an exact comparison of fingerprints by key."""
+    with R.Session(source, spec) as a, R.Session(target, spec) as b:
+        got, _ = reconcile_rateless(a.rows.select("fp", "id"), b.rows.select("fp", "id"), **options)
+        if not got.complete:
+            return R.full_outer(source, target, spec)
+        found = [tuple(r) for r in R.resolve(a, b, got).collect()]  # as many as the decoded difference
+    return R.recheck(source, target, spec, source.sparkSession.createDataFrame(found, "pk string, on_source boolean, on_target boolean"))

@@ -372,11 +372,7 @@ def _(spark, sf_dir):
 
 @register("s15_rateless_reconcile_orders", ORACLES["o51_full_outer_classify_orders"])
 def _(spark, sf_dir):
-    source, target, spec = copies(spark, sf_dir, "orders")
-    with reconcile.Session(source, spec) as a, reconcile.Session(target, spec) as b:
-        got, _n = rateless.reconcile_rateless(a.rows.select("fp", "id"), b.rows.select("fp", "id"))
-        found = [tuple(r) for r in reconcile.resolve(a, b, got).collect()]
-    return reconcile.recheck(source, target, spec, spark.createDataFrame(found, "pk string, on_source boolean, on_target boolean"))
+    return rateless.reconcile_tables(*copies(spark, sf_dir, "orders"))
 
 
 @register("s16_exact_sign", None)

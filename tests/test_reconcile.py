@@ -161,6 +161,14 @@ def test_rateless_prefixes_decode(spark):
     assert (rateless.to_array(whole, 100) == rateless.to_array(parts, 100)).all()
 
 
+def test_rateless_query_is_whole_past_the_cap(spark, monkeypatch):
+    few = rateless.reconcile_rateless
+    monkeypatch.setattr(rateless, "reconcile_rateless", lambda a, b: few(a, b, first=4, cap=8))
+    got = {tuple(r) for r in queries.QUERIES["s15_rateless_reconcile_orders"](spark, SF).collect()}
+    want = {tuple(r) for r in reconcile.full_outer(*queries.copies(spark, SF, "orders")).collect()}
+    assert len(want) > 8 and got == want
+
+
 def test_exact_and_simulated_signs_agree(spark):
     for m, k, d in ((4, 2, 3), (5, 2, 4)):
         one = correlation.exact(spark, [(m, k, d)]).collect()[0]
