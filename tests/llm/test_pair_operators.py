@@ -45,6 +45,12 @@ def test_near_duplicates_against_brute_force(prose, small, block):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_trees_meet_pairs_at_the_threshold():
+    options = near_dedup.Options()
+    assert near_dedup.missed(0.8, 20_000, options) <= 2e-4  # four trees: 1.5e-3
+    assert near_dedup.missed(0.8, 8_000, options, crowded=True) <= 4e-4  # four trees: 3e-3
+
+
 def test_near_duplicates_defined_results(odd, odd_rows, none):
     got = near_dedup.near_duplicates(odd).collect()
     assert len(got) == len(odd_rows)
