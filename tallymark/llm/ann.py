@@ -3,9 +3,13 @@
 The split planes are fitted on at most ``Forest.sample`` vectors (lowest ids by hash); every row is then indexed, by routing
 it to one leaf of each tree. Leaves keep their size as the table grows: past the fitted planes a leaf is split further by
 random directions through its centre, ``extra`` levels of them, chosen from the row count. A query walks all trees with one
-queue ordered by the smallest margin on the path, until it has opened ``visits`` leaves; queries and rows meet per leaf, where
+queue ordered by the smallest margin on the path, until it has opened enough leaves; queries and rows meet per leaf, where
 exact cosines in double precision leave each query its best few, and those are merged.
 
+How many leaves are enough is measured on every table: ``probes`` of its queries are compared with all rows, and ``visits`` is
+raised until they reach ``recall`` of their true neighbours. Where opening that many leaves is dearer than comparing a query
+with every row (one leaf counts as ``leaf_cost`` rows), all queries are compared with all rows, in blocks, and the result is exact.
+
 Equal vectors are one row with their smallest ids, as many as a result can need, so a vector that a third of all rows hold is
 neither a hot leaf nor a loss. Equal query vectors are searched once.
 
@@ -35,6 +39,10 @@ class Options:
     leaf: int = 24
     rows_per_leaf: int = 96
     visits: int = 900
+    probes: int = 64
+    recall: float = 0.95
+    leaf_cost: int = 1000
+    query_block: int = 8192
     seed: int = 5
 
 
@@ -127,6 +135,34 @@ class Forest:
         return found
 
 
+    def margins(self, q: np.ndarray) -> list[np.ndarray]:
+        """Per tree the smallest margin on the path to each leaf, by (leaf, bits): search opens leaves from the largest down."""
+        at = self.planes @ q - self.cuts if len(self.planes) else self.cuts
+        out = []
+        for t, root in enumerate(self.roots):
+            node, m, leaf = np.array([root]), np.array([np.inf]), np.zeros(len(self.centres[t]))
+            while len(node):
+                end = node < 0
+                leaf[-node[end] - 1] = m[end]
+                node, m = node[~end], m[~end]
+                node, m = self.kids[node].T.ravel(), np.concatenate([np.minimum(m, -at[node]), np.minimum(m, at[node])])
+            leaf = leaf[:, None]
+            turn = (q - self.centres[t]) @ self.turns[t, : self.extra].T
+            for level in range(self.extra):
+                side = turn[:, level, None]
+                leaf = np.stack([np.minimum(leaf, -side), np.minimum(leaf, side)], 2).reshape(len(leaf), -1)
+            out.append(leaf)
+        return out
+
+    def opened(self, q: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """How many leaves a query opens until it has met each of these vectors."""
+        leaves = self.margins(q)
+        best = np.full(len(near), -np.inf)
+        for t, keys in enumerate(self.route(near)):
+            best = np.maximum(best, leaves[t][(keys >> 24) & 0xFFFFFF, keys & 0xFFFFFF])
+        return np.sum([[(m >= b).sum() for b in best] for m in leaves], 0)
+
+
 def vectors(batch: pa.RecordBatch, i: int, dim: int) -> np.ndarray:
     """A list<float> column without nulls as a matrix of doubles."""
     return batch.column(i).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
@@ -136,6 +172,63 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def top_of(ids: np.ndarray, x: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, scores) of the n best rows of x for every row of q, by exact cosines in double precision."""
+    norms, own = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+    n, wide = min(n, len(ids)), min(len(ids), 2 * n + 6)
+    out_ids, out = np.zeros((len(q), n), np.int64), np.zeros((len(q), n))
+    for lo in range(0, len(q), 256):
+        a = q[lo : lo + 256]
+        at = np.argpartition(-(a @ (x / norms[:, None]).T), wide - 1, axis=1)[:, :wide]
+        score = (x[at] * a[:, None]).sum(2) / (norms[at] * own[lo : lo + 256, None])
+        best = np.lexsort((ids[at], -score), axis=1)[:, :n]
+        out_ids[lo : lo + 256], out[lo : lo + 256] = np.take_along_axis(ids[at], best, 1), np.take_along_axis(score, best, 1)
+    return out_ids, out
+
+
+def compare_all(data: DataFrame, qids: np.ndarray, q: np.ndarray, n: int) -> DataFrame:
+    """qid, id, score: the n best rows of data(id, v) for each query vector, per partition of data; nothing but these is shuffled."""
+    asked = data.sparkSession.sparkContext.broadcast((qids, q))
+    dim = q.shape[1]
+
+    def scan(batches):
+        names, wide = asked.value[0], asked.value[1].astype(np.float64)
+        ids, score = np.zeros((len(wide), 0), np.int64), np.zeros((len(wide), 0))
+        for batch in batches:
+            if batch.num_rows:
+                new = top_of(batch.column(0).to_numpy(), vectors(batch, 1, dim), wide, n)
+                ids, score = np.hstack([ids, new[0]]), np.hstack([score, new[1]])
+                best = np.lexsort((ids, -score), axis=1)[:, :n]
+                ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], names=["qid", "id", "score"])
+
+    return data.select("id", "v").mapInArrow(scan, "qid long, id long, score double")
+
+
+def held(frame: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids and vectors of a bounded frame(id, v) on the driver."""
+    got = frame.toArrow()
+    v = got.column("v").combine_chunks()
+    flat = v.flatten().to_numpy() if len(got) else np.zeros(0, np.float32)
+    return got.column("id").to_numpy(), flat.astype(np.float32).reshape(-1, dim)
+
+
+def enough_visits(forest: Forest, data: DataFrame, queries: DataFrame, k: int, options: Options) -> int:
+    """Leaves to open so that a sample of the queries meets ``recall`` of its k true neighbours."""
+    qids, q = held(queries.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(options.probes), forest.dim)
+    if not len(qids):
+        return options.visits
+    ordered = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    true = compare_all(data, qids, q, k + 1).where("qid <> id").withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= k)
+    near = true.join(data.select("id", "v"), "id").select("qid", "v").collect()  # probes x k vectors
+    need = []
+    for qid, own in zip(qids.tolist(), unit(q.astype(np.float64)), strict=True):
+        mine = [r["v"] for r in near if r["qid"] == qid]
+        if mine:
+            need += forest.opened(own, unit(np.array(mine, np.float64))).tolist()
+    return max(options.visits, int(np.quantile(need, options.recall, method="higher"))) if need else options.visits
+
+
 def nearest(rows: DataFrame, is_query, k: int = 5, options: Options = Options(), id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row where is_query holds, its k nearest found among all other rows."""
     spark = rows.sparkSession
@@ -150,13 +243,39 @@ def nearest(rows: DataFrame, is_query, k: int = 5, options: Options = Options(),
     few = clean.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
     data = scratch.save(few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("id", F.element_at("ids", 1)))
     total = data.count()
-    got = data.orderBy(F.xxhash64("id"), "id").limit(options.sample).select("v").toPandas()["v"]
-    sample = np.stack([np.asarray(v, np.float64) for v in got]) if len(got) else np.zeros((0, dim))
-    forest = spark.sparkContext.broadcast(Forest(unit(sample), options, total))
     asked = clean.where(is_query(F.col("id"))).select("id", "v")
     owners = asked.join(data.select("v", F.col("id").alias("qid")), "v").select(F.col("id").alias("query_id"), "qid")
     owners = scratch.save(owners)
     queries = owners.select(F.col("qid").alias("id")).distinct().join(data.select("id", "v"), "id")
+    dear = total <= options.visits * options.leaf_cost
+    if not dear:
+        got = data.orderBy(F.xxhash64("id"), "id").limit(options.sample).select("v").toPandas()["v"]
+        built = Forest(unit(np.stack([np.asarray(v, np.float64) for v in got])), options, total)
+        built.visits = enough_visits(built, data, queries, k, options)
+        dear = total <= built.visits * options.leaf_cost
+    if dear:
+        blocks = max(1, -(-queries.count() // options.query_block))
+        part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks))
+        scored = None
+        for b in range(blocks):
+            qids, q = held(queries.where(part == b), dim)
+            if len(qids):
+                best = scratch.save(compare_all(data, qids, q, k + 1))
+                scored = best if scored is None else scored.unionByName(best)
+        if scored is None:
+            scored = spark.createDataFrame([], "qid long, id long, score double")
+    else:
+        scored = meet_in_leaves(data, queries, spark.sparkContext.broadcast(built), dim, k)
+    ordered = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    top = scored.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= k + 1).select("qid", "id", "score")
+    spread = scratch.save(top.join(data.select("id", "ids"), "id").select("qid", F.explode("ids").alias("vec_id"), "score"))
+    mine = owners.join(spread, "qid").where("vec_id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def meet_in_leaves(data: DataFrame, queries: DataFrame, forest, dim: int, k: int) -> DataFrame:
+    """qid, id, score: the best rows for each query in the leaves that it opens."""
 
     def index(batches):
         for batch in batches:
@@ -216,10 +335,4 @@ def nearest(rows: DataFrame, is_query, k: int = 5, options: Options = Options(),
             held.append(batch.slice(cut))
         yield from flush()
 
-    scored = meet.repartition(F.col("leaf")).sortWithinPartitions("leaf", "kind").mapInArrow(rerank, "qid long, id long, score double").distinct()
-    ordered = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    top = scored.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= k + 1).select("qid", "id", "score")
-    spread = scratch.save(top.join(data.select("id", "ids"), "id").select("qid", F.explode("ids").alias("vec_id"), "score"))
-    mine = owners.join(spread, "qid").where("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return meet.repartition(F.col("leaf")).sortWithinPartitions("leaf", "kind").mapInArrow(rerank, "qid long, id long, score double").distinct()

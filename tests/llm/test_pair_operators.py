@@ -205,3 +205,31 @@ def test_forest_recall_on_isotropic_vectors():
     deep = ann.Forest(x[:500], ann.Options(rows_per_leaf=16), len(x))
     assert deep.extra > 0 and len(set(deep.route(x)[0].tolist())) > 2 * len(deep.centres[0])
     assert len(deep.search(x[0])) == ann.Options().visits or len(deep.search(x[0])) == 8 * len(deep.centres[0]) << deep.extra
+
+
+@pytest.mark.parametrize("leaf_cost", [0, 1000])
+def test_few_visits_lose_no_neighbours(spark, leaf_cost):
+    """Opened leaves follow the measured recall, whatever the options begin with; leaf_cost 0 keeps to the forest."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 24)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    options = ann.Options(visits=5, sample=800, rows_per_leaf=12, leaf_cost=leaf_cost, query_block=20)
+    got = collections.defaultdict(set)
+    for r in ann.nearest(frame, lambda c: c % 50 == 0, 5, options).collect():
+        got[r.query_id].add(r.vec_id)
+    unit = ann.unit(x.astype(np.float64))
+    hit = 0
+    for q in range(0, 6000, 50):
+        score = unit @ unit[q]
+        score[q] = -2
+        hit += len(got[q] & set(np.argsort(-score)[:5].tolist()))
+    assert hit / 600 >= (0.9 if leaf_cost == 0 else 1)
+
+
+def test_margins_order_leaves_as_the_search_does():
+    x = ann.unit(np.random.default_rng(3).standard_normal((900, 12)))
+    forest = ann.Forest(x[:300], ann.Options(rows_per_leaf=4), len(x))
+    forest.visits = 60
+    leaves, found = forest.margins(x[0]), forest.search(x[0])
+    worth = [leaves[k >> 48][(k >> 24) & 0xFFFFFF, k & 0xFFFFFF] for k in found]
+    assert forest.extra > 0 and worth == sorted(np.concatenate([m.ravel() for m in leaves]).tolist(), reverse=True)[:60]
