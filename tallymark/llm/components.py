@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,34 +10,45 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 LINKS = "v long, r long, changed boolean"
+TASK_LINKS = 1 << 20
 
 
-def _merge_locally(batches):
-    """Union-find over the links (v, r, jumped) of one partition: every vertex met points at the smallest id it is joined to here."""
-    parent: dict[int, int] = {}
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vertex, smallest vertex it is joined to) over the links a - b, for every vertex but those that are smallest themselves."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ids))
+    while True:
+        low = np.minimum(root[x], root[y])
+        before = root.copy()
+        for side in (x, y):
+            np.minimum.at(root, before[side], low)  # hook the roots, not the vertices
+        while True:
+            up = root[root]
+            if (up == root).all():
+                break
+            root = up
+        apart = root[x] != root[y]
+        if not apart.any():
+            break
+        x, y = x[apart], y[apart]
+    joined = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[joined], ids[root[joined]]
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
-    given: dict[int, int] = {}
-    changed = False
-    for batch in batches:
-        v, r = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        changed = changed or bool(batch.column(2).to_numpy(zero_copy_only=False).any())
-        for a, b in zip(v, r, strict=True):
-            changed = changed or given.setdefault(a, b) != b
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    rows = [(x, root(x)) for x in list(parent)]
-    rows = [(x, y) for x, y in rows if x != y]
-    changed = changed or len(rows) != len(given) or any(given.get(x) != y for x, y in rows)
-    for lo in range(0, len(rows), 50_000):
-        part = rows[lo : lo + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([y for _, y in part], pa.int64()), pa.array([changed] * len(part), pa.bool_())], names=["v", "r", "changed"])
+def _merge_locally(batches):
+    """Components over the links (v, r, jumped) of one partition: every vertex met points at the smallest id it is joined to here."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    v, r, jumped = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(3))
+    del held
+    vertex, low = forest(v, r)
+    given = np.unique(np.stack([v, r], 1)[v != r], axis=0)
+    changed = bool(jumped.any()) or len(given) != len(vertex) or not (np.array_equal(given[:, 0], vertex) and np.array_equal(given[:, 1], low))
+    for lo in range(0, len(vertex), 50_000):
+        part = slice(lo, lo + 50_000)
+        yield pa.RecordBatch.from_arrays([pa.array(vertex[part]), pa.array(low[part]), pa.array(np.full(len(vertex[part]), changed))], names=["v", "r", "changed"])
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
@@ -44,20 +56,20 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
 
     Links point from the larger to the smaller id and are dealt by the larger, so a hub is never a key. A round shortens every
     link by one jump (a join of two written tables, whose hot keys adaptive execution can split) and merges what meets in a
-    partition; it ends when a round changes nothing.
+    partition; it ends when a round changes nothing. A task merges about 2^20 links, in arrays, whatever their number.
     """
 
-    cores = edges.sparkSession.sparkContext.defaultParallelism
-
-    def merged(links: DataFrame) -> DataFrame:
-        """As many tasks as cores: the more links meet in one, the fewer rounds; their number follows the cluster, not a constant."""
-        dealt = links.repartition(F.col("v")).coalesce(cores)
+    def merged(links: DataFrame, n: int) -> DataFrame:
+        dealt = links.repartition(max(1, -(-n // TASK_LINKS)), "v")
         return scratch.save(dealt.select("v", "r", "jumped").mapInArrow(_merge_locally, LINKS))
 
-    links = merged(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r"), F.lit(True).alias("jumped")))
+    first = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r"), F.lit(True).alias("jumped")))
+    n = first.count()
+    links = merged(first, n)
+    scratch.drop(first)
     for _ in range(rounds):
         up = links.select(F.col("v").alias("r"), F.col("r").alias("up"))
-        further = merged(links.select("v", "r").join(up, "r", "left").select("v", F.coalesce("up", "r").alias("r"), F.col("up").isNotNull().alias("jumped")))
+        further = merged(links.select("v", "r").join(up, "r", "left").select("v", F.coalesce("up", "r").alias("r"), F.col("up").isNotNull().alias("jumped")), n)
         scratch.drop(links)
         links = further
         if not links.where("changed").limit(1).count():
