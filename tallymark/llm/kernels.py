@@ -23,14 +23,44 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark) -> None:
-    """Have Spark hand texts to Python in batches of at most 2,000 rows: both sides of the pipe hold whole batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Have Spark hand texts to Python in batches of at most 2,000 rows and about 4 MB: both sides of the pipe hold whole batches.
+
+    Plans read the limits when they run, so they stay with the session; smaller limits of its own are left as they are.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with as many underscores in front as set them apart from these columns (whatever the case)."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def fixed_binary(rows: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    """One binary value per row of a C-contiguous matrix, over its own memory."""
+    n, width = len(rows), rows.shape[1] * rows.itemsize
+    off = np.arange(n + 1, dtype=np.int32) * np.int32(width)
+    valid = None if mask is None else pa.py_buffer(np.packbits(~mask, bitorder="little"))
+    return pa.Array.from_buffers(pa.binary(), n, [valid, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def binary_rows(column: pa.Array, dtype, width: int) -> np.ndarray:
+    """The matrix behind a binary column without nulls whose values all hold `width` numbers."""
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset] if len(column) else 0
+    size = np.dtype(dtype).itemsize * width * len(column)
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + size].view(dtype).reshape(-1, width) if len(column) else np.zeros((0, width), dtype)
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -53,13 +83,19 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_
         lo = hi
 
 
+def _power_row(base: int, n: int) -> np.ndarray:
+    out = np.full(n, U64(base))
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """First n powers of the multiplier and of its inverse, modulo 2^64."""
+    """First n powers of the multiplier and of its inverse, modulo 2^64; those of a slice are kept, those of a longer text are not."""
+    if n > 2 * SLICE_BYTES:
+        return _power_row(_MULT, n), _power_row(_INV, n)
     if n > len(_powers.get("p", ())):
-        for key, base in (("p", _MULT), ("i", _INV)):
-            grown = np.full(max(n, 1 << 16), U64(base))
-            grown[0] = 1
-            _powers[key] = np.multiply.accumulate(grown)
+        size = 1 << max(16, (n - 1).bit_length())
+        _powers["p"], _powers["i"] = _power_row(_MULT, size), _power_row(_INV, size)
     return _powers["p"][:n], _powers["i"][:n]
 
 

@@ -84,7 +84,7 @@ def describe(docs: DataFrame, options: Options) -> DataFrame:
                 sets, at = K.shingle_sets(buf, off, options.words)
                 n, sig = np.diff(at), signatures(sets, at)
                 none = n == 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(set_keys(sets, at), mask=none), pa.array([s.tobytes() for s in sig], pa.binary(), mask=none)], names=["doc_id", "n_shingles", "key", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(set_keys(sets, at), mask=none), K.fixed_binary(sig, none)], names=["doc_id", "n_shingles", "key", "sig"])
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, key long, sig binary")
 
@@ -131,7 +131,7 @@ def tree_nodes(reps: DataFrame, options: Options) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
+            sig = K.binary_rows(batch.column(1), np.uint32, COORDS)
             keys, nodes = batch.column(0).to_numpy(), []
             for tree in range(options.trees):
                 nodes += tree_paths(sig, tree, options.depth)
@@ -145,7 +145,7 @@ def tree_nodes(reps: DataFrame, options: Options) -> DataFrame:
 def branch_further(members: DataFrame, reps: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, COORDS)
+            sig = K.binary_rows(batch.column(2), np.uint32, COORDS)
             child, _ = branch(batch.column(0).to_numpy().view(np.uint64), sig)
             yield pa.RecordBatch.from_arrays([pa.array(child.ravel().view(np.int64)), pa.array(np.repeat(batch.column(1).to_numpy(), 2))], names=["node", "key"])
 
@@ -178,9 +178,9 @@ def node_members(reps: DataFrame, options: Options, scratch: Scratch) -> DataFra
 
     def sketch(batches):
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDS)
+            sig = K.binary_rows(batch.column(1), np.uint32, COORDS)
             small = (sig * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in small], pa.binary())], names=["key", "first_id", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), K.fixed_binary(small)], names=["key", "first_id", "sketch"])
 
     sketches = reps.select("key", "sig", "first_id").mapInArrow(sketch, "key long, first_id long, sketch binary")
     return scratch.save(out.join(sketches, "key").select("node", "key", "sketch", "first_id"))
@@ -279,7 +279,7 @@ def best_partners(members: DataFrame, options: Options) -> DataFrame:
         if held:
             t = pa.Table.from_batches(held).combine_chunks()
             if t.num_rows:
-                sk = np.frombuffer(b"".join(t.column(2).to_pylist()), np.uint8).reshape(-1, COORDS)
+                sk = K.binary_rows(t.column(2).combine_chunks(), np.uint8, COORDS)
                 got = emit(t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(3).to_numpy(), t.column(4).chunk(0), sk)
                 if got is not None:
                     yield got
