@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,34 +65,75 @@ def sparse_rows(buf: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.n
 
 @dataclass
 class Rows:
-    """Training rows in compressed form; a driver-side object of bounded size."""
+    """Training rows in compressed form; a driver-side object of bounded size. Row i has places at[i] to at[i + 1]."""
 
     index: np.ndarray
     value: np.ndarray
-    row: np.ndarray
-    n: int
+    at: np.ndarray
+
+    @property
+    def n(self) -> int:
+        return len(self.at) - 1
 
     @staticmethod
     def of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-        sizes = np.array([len(i) for i, _ in pairs], np.int64)
         index = np.concatenate([np.zeros(0, np.int32), *(i for i, _ in pairs)])
         value = np.concatenate([np.zeros(0, np.float32), *(v for _, v in pairs)])
-        return Rows(index, value, np.repeat(np.arange(len(pairs), dtype=np.int32), sizes), len(pairs))
+        return Rows(index, value, np.append(0, np.cumsum([len(i) for i, _ in pairs])).astype(np.int64))
+
+    def joined(self, other: Rows) -> Rows:
+        return Rows(np.concatenate([self.index, other.index]), np.concatenate([self.value, other.value]), np.concatenate([self.at, self.at[-1] + other.at[1:]]))
 
-    def _chunks(self, size: int = 1 << 20):
-        for lo in range(0, len(self.index), size):
-            yield self.index[lo : lo + size], self.value[lo : lo + size], self.row[lo : lo + size]
+    def _chunks(self, size: int = 1 << 18):
+        """(first row, last row + 1, sizes, index, value) of some whole rows at a time."""
+        lo = 0
+        while lo < self.n:
+            hi = max(lo + 1, int(np.searchsorted(self.at, self.at[lo] + size, "right")) - 1)
+            a, b = self.at[lo], self.at[hi]
+            yield lo, hi, np.diff(self.at[lo : hi + 1]), self.index[a:b], self.value[a:b]
+            lo = hi
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        out = np.zeros(self.n)
-        for index, value, row in self._chunks():
-            out += np.bincount(row, weights[index] * value, self.n)
+        out, weights = np.zeros(self.n), weights.astype(np.float32)
+        for lo, hi, sizes, index, value in self._chunks():
+            some = np.flatnonzero(sizes)
+            if len(some):
+                out[lo + some] = np.add.reduceat(weights[index] * value, (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
+        return out
+
+
+class Columns:
+    """The same rows ordered by bucket: both products then touch short arrays at random and long ones in order."""
+
+    def __init__(self, rows: Rows):
+        order = np.argsort(rows.index, kind="stable")
+        self.n = rows.n
+        self.row = np.repeat(np.arange(rows.n, dtype=np.int16 if rows.n < 1 << 15 else np.int32), np.diff(rows.at))[order]
+        self.value = rows.value[order]
+        index = rows.index[order]
+        del order
+        self.first = np.flatnonzero(np.append(True, index[1:] != index[:-1])[: len(index)])
+        self.bucket = index[self.first]
+        self.sizes = np.diff(np.append(self.first, len(index)))
+
+    def _chunks(self, size: int = 1 << 18):
+        """(first column, last column + 1, first place, last place + 1) of some whole columns at a time."""
+        ends, lo = np.cumsum(self.sizes), 0
+        while lo < len(self.bucket):
+            hi = max(lo + 1, int(np.searchsorted(ends, self.first[lo] + size, "right")))
+            yield lo, hi, int(self.first[lo]), int(ends[hi - 1])
+            lo = hi
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        out, own = np.zeros(self.n), weights[self.bucket]
+        for lo, hi, a, b in self._chunks():
+            out += np.bincount(self.row[a:b], np.repeat(own[lo:hi], self.sizes[lo:hi]) * self.value[a:b], self.n)
         return out
 
     def pull(self, error: np.ndarray, buckets: int) -> np.ndarray:
         out = np.zeros(buckets)
-        for index, value, row in self._chunks():
-            out += np.bincount(index, error[row] * value, buckets)
+        for lo, hi, a, b in self._chunks():
+            out[self.bucket[lo:hi]] = np.add.reduceat(error[self.row[a:b]] * self.value[a:b], self.first[lo:hi] - a)
         return out
 
 
@@ -99,8 +141,9 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(rows: Rows, y: np.ndarray, buckets: int, use: np.ndarray, steps: int = 80, rate: float = 1.0, decay: float = 1e-5, start: tuple | None = None) -> tuple[np.ndarray, float]:
+def train(rows: Rows | Columns, y: np.ndarray, buckets: int, use: np.ndarray, steps: int = 80, rate: float = 1.0, decay: float = 1e-5, start: tuple | None = None) -> tuple[np.ndarray, float]:
     """Class-balanced logistic regression by full-batch Adam, on the rows where `use` holds."""
+    rows = Columns(rows)
     w, b = (start[0].copy(), start[1]) if start else (np.zeros(buckets), 0.0)
     m, v, mb, vb = np.zeros(buckets), np.zeros(buckets), 0.0, 0.0
     share = use * np.where(y == 1, 0.5 / max((use & (y == 1)).sum(), 1), 0.5 / max((use & (y != 1)).sum(), 1))
@@ -144,29 +187,54 @@ def sample_labels(labels: DataFrame, id_col: str, label_col: str, limit: int) ->
     return clean.where("__y = __z").select("__id", F.col("__y").cast("int").alias("__y")).orderBy(F.xxhash64("__id", F.lit(17)), "__id").limit(limit)
 
 
-def fetch_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, extra: list[str] = []) -> list[tuple]:  # noqa: B006
-    """Collect (id, __y, extra..., bucket indexes, values) of the documents with the given ids.
+@dataclass
+class Sample:
+    """Labelled rows on the driver, by ascending id: label, extra columns as text, features."""
+
+    ids: np.ndarray
+    y: np.ndarray
+    extra: list[list]
+    rows: Rows
+
+
+def fetch_rows(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, extra: list[str] = []) -> Sample:  # noqa: B006
+    """The documents of ids(__id, __y) with their features; of several rows of one id the least (by columns, then features) is taken.
 
-    `ids` has at most the documented sample bound of rows, so both its broadcast and the collected rows are bounded.
+    `ids` has at most the documented sample bound of rows, so its broadcast and what the driver receives are bounded. The
+    features come as Arrow batches, each copied into arrays of the right size and let go.
     """
     K.small_batches(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"), *(F.col(c).cast("string").alias(f"__x{i}") for i, c in enumerate(extra)))
-    chosen = chosen.join(F.broadcast(ids), "__id").select("__id", "__y", *(f"__x{i}" for i in range(len(extra))), "__text")
+    chosen = docs.select(F.col(id_col).cast("long").alias("__id"), *(F.col(c).cast("string").alias(f"__x{i}") for i, c in enumerate(extra)), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    chosen = chosen.join(F.broadcast(ids.withColumn("__id", F.col("__id").cast("long"))), "__id")
+    chosen = chosen.select("__id", "__y", *(f"__x{i}" for i in range(len(extra))), "__text")
     schema = "__id long, __y int, " + "".join(f"__x{i} string, " for i in range(len(extra))) + "idx binary, val binary"
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def features(batches):
         for batch in batches:
+            at = batch.schema.get_field_index("__text")
             for lo, hi, buf, off in K.text_slices(batch, "__text"):
                 rows = sparse_rows(buf, off)
-                part = batch.slice(lo, hi - lo)
-                cols = [part.column(i) for i in range(2 + len(extra))]
-                cols += [pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names[: 2 + len(extra)], "idx", "val"])
-
-    found = chosen.withColumn("__id", F.col("__id").cast("long")).mapInArrow(features, schema).collect()
-    seen, out = set(), []
-    for r in sorted(found, key=lambda r: (r[0], r[-2], r[-1])):  # repeated rows of an id count once
-        if r[0] not in seen:
-            seen.add(r[0])
-            out.append((*r[:-2], np.frombuffer(r[-2], np.int32), np.frombuffer(r[-1], np.float32)))
+                cols = [batch.column(i).slice(lo, hi - lo) for i in range(at)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([i.tobytes() for i, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())], names=names)
+
+    got = chosen.mapInArrow(features, schema).groupBy("__id", "__y").agg(F.min(F.struct(*names[2:])).alias("__r")).select("__id", "__y", "__r.*").toArrow()
+    size = lambda c: pc.binary_length(got.column(c)).to_numpy().astype(np.int64) // 4
+    lengths = size("idx")
+    order = np.argsort(got.column("__id").to_numpy(), kind="stable")
+    at = np.append(0, np.cumsum(lengths[order]))
+    place = np.empty(len(order), np.int64)
+    place[order] = at[:-1]
+    rows = Rows(np.empty(at[-1], np.int32), np.empty(at[-1], np.float32), at)
+    out = Sample(got.column("__id").to_numpy()[order], got.column("__y").to_numpy()[order], [[x[i] for i in order] for x in (got.column(f"__x{j}").to_pylist() for j in range(len(extra)))], rows)
+    batches, row = got.select(["idx", "val"]).to_batches(), 0
+    del got
+    while batches:
+        batch = batches.pop(0)
+        for i in range(batch.num_rows):
+            a, n = place[row], lengths[row]
+            rows.index[a : a + n] = np.frombuffer(batch.column(0)[i].as_buffer(), np.int32)
+            rows.value[a : a + n] = np.frombuffer(batch.column(1)[i].as_buffer(), np.float32)
+            row += 1
+    pa.default_memory_pool().release_unused()
     return out

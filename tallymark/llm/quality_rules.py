@@ -4,8 +4,9 @@ The regression is trained on a bounded sample of the labelled quality rows (``Ru
 fit and one third to calibrate) and every document is scored, whole, in Arrow batches against fixed thresholds.
 One scan, no shuffle of texts: the only exchange is the top-``sample`` of the label table.
 
-Defined results: a null text has no words and fails the base rules; an empty text likewise; repeated rows are each judged,
-alike; without labels of both classes the verdict is that of the base rules; an empty table gives an empty result; other
+Defined results: a null text has no words and fails the base rules; an empty text likewise; a very long text is judged whole, as
+a slice of its own; repeated rows are each judged, alike, and count once in the sample; null labels and ids labelled both ways are
+left out, and of several texts of one labelled id the least is fitted; without labels of both classes the verdict is that of the base rules; an empty table gives an empty result; other
 columns are not read, so their names cannot clash.
 """
 
@@ -81,11 +82,9 @@ def word_stats(buf: np.ndarray, off: np.ndarray, window: int = 8) -> dict[str, n
 def fit(docs: DataFrame, labels: DataFrame, rules: Rules = Rules()) -> dict | None:
     """Weights, bias and calibration; None without labelled documents of both classes."""
     got = L.fetch_rows(docs, L.sample_labels(labels, "doc_id", "quality", rules.sample), "doc_id", "text")
-    y = np.array([r[1] for r in got])
+    y, rows = got.y, got.rows
     if len(set(y.tolist())) < 2:
         return None
-    rows = L.Rows.of([(r[-2], r[-1]) for r in got])
-    del got
     held = np.arange(len(y)) % 3 == 2
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held = np.zeros(len(y), bool)
