@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallymark.llm import chaining, cotraining, near_dedup, quality_rules
+from tallymark.llm import chaining, cotraining, kernels, near_dedup, quality_rules
 from tallymark.llm.queries import packed, table
 from tallymark.llm.scratch import Scratch
 from tallymark.workers import ready
@@ -31,9 +31,10 @@ def apply_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of five-word-shingle near copies stays: that of the smallest id."""
     ready(spark)
-    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return stay.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    id_, text = kernels.fresh(docs.columns, "kept_id", "text_hash")
+    kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(id_)).distinct()
+    stay = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(id_)), "left_semi")
+    return stay.withColumn(text, F.md5("text")).dropDuplicates(["doc_id", text]).drop(text)
 
 
 def apply_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
