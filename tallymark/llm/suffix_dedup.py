@@ -9,17 +9,18 @@ breadth-first, to find every start whose string is repeated. An anchor with very
 that many documents share) is not gathered: its segments are cut again at anchors of 180 bytes, which parts them by context and
 merges what is inside the passage, and only strings at anchors that are still crowded are counted by content across tasks.
 
-Texts are shuffled twice, by document: to cut out one representative of each segment, and to cut out what is removed.
-
-Defined results: a null text is an empty one; texts under `length` bytes are kept whole; repeated rows are repeats of each
-other; null ids and rows that share an id are told apart by their text; an empty table gives an empty result; only doc_id and
-text are read.
+Equal texts are one text for all of this, known by their MD5: of `length` bytes or more they are removed whole, and count as often
+as they occur for the others. So a group of copies, or a repeated row, costs what one text costs. Texts are shuffled three times:
+to merge the equal ones (combined within each task first), to cut out one representative of each segment, and to cut out what is
+removed.
+
+Defined results: a null text is an empty one; texts under `length` bytes are kept whole; a very long text is a slice of its own and
+otherwise treated alike; repeated rows are repeats of each other; ids, null or shared, play no part but to be returned; ties (which
+occurrence stands for a segment) do not show in the result; an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +34,6 @@ U64 = np.uint64
 ANCHOR, FINE_ANCHOR = 100, 180
 HOT_SEGMENTS = 512
 BLOCK_BYTES = 2 << 20
-NO_ID = -(1 << 63)
 
 
 def anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.ndarray, ...]:
@@ -69,24 +69,22 @@ def anchors(buf: np.ndarray, off: np.ndarray, length: int, k: int) -> tuple[np.n
 
 
 def segments_of(texts: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, s, d, t, at, width) of every anchor of texts(d, text): t is the text's CRC."""
+    """(h, s, t, n, at, width) of every anchor of texts(t, n, text): t names the text, which occurs n times."""
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, off in K.text_slices(batch):
                 owner, h, s, at, width = anchors(buf, off, length, k)
                 if len(owner):
-                    raw = buf.tobytes()
-                    crc = np.array([zlib.crc32(raw[off[i] : off[i + 1]]) for i in range(hi - lo)], np.int64)
-                    ids = batch.column(0).slice(lo, hi - lo).to_numpy()
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(ids[owner]), pa.array(crc[owner]), pa.array(at.astype(np.int32)), pa.array(width.astype(np.int32))], names=["h", "s", "d", "t", "at", "width"])
+                    own = pa.array(owner + lo)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), batch.column(0).take(own), batch.column(1).take(own), pa.array(at.astype(np.int32)), pa.array(width.astype(np.int32))], names=["h", "s", "t", "n", "at", "width"])
 
-    return texts.mapInArrow(run, "h long, s long, d long, t long, at int, width int")
+    return texts.select("t", "n", "text").mapInArrow(run, "h long, s long, t binary, n long, at int, width int")
 
 
 def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(h, s, n, crowd, body): the bytes of one occurrence of each segment."""
-    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("h", "s", "n", "crowd", "at", "width")).alias("parts"))
+    """(h, s, n, crowd, body): the bytes of one occurrence of each segment; texts(t, text) holds every t once."""
+    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("h", "s", "n", "crowd", "at", "width")).alias("parts"))
 
     def run(batches):
         for batch in batches:
@@ -97,7 +95,7 @@ def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 body = [text[a : a + w + length - 1] for a, w in zip(at.tolist(), width.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*parts[:4], pa.array(body, pa.binary())], names=["h", "s", "n", "crowd", "body"])
 
-    return texts.select("d", F.crc32("text").alias("t"), "text").join(lists, ["d", "t"]).select("text", "parts").mapInArrow(run, "h long, s long, n long, crowd boolean, body binary")
+    return texts.select("t", "text").join(lists, "t").select("text", "parts").mapInArrow(run, "h long, s long, n long, crowd boolean, body binary")
 
 
 def expand(segments: DataFrame, length: int) -> DataFrame:
@@ -192,13 +190,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT_SEGMENTS,
     scratch = Scratch(spark, "suffix")
     K.small_batches(spark)
     k = min(anchor, length)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("t"), text.alias("text"))
+    texts = scratch.save(rows.where(F.octet_length("text") >= length).groupBy("t").agg(F.first("text").alias("text"), F.count("*").alias("n")))
+    scratch.tidy()
     found = segments_of(texts, length, k)
-    repeated = scratch.save(found.groupBy("h").count().where("count > 1").select("h"))
-    places = scratch.save(found.join(repeated, "h").select("h", "s", "d", "t", "at", "width"))
+    repeated = scratch.save(found.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1").select("h"))
+    places = scratch.save(found.join(repeated, "h").select("h", "s", "t", "n", "at", "width"))
     scratch.tidy()
     scratch.drop(repeated)
-    distinct = places.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "at", "width")).alias("o"))
+    distinct = places.groupBy("h", "s").agg(F.sum("n").alias("n"), F.min(F.struct("t", "at", "width")).alias("o"))
     distinct = scratch.save(distinct.select("h", "s", "n", "o.*"))
     segments = scratch.save(cut_segments(texts, crowded(distinct, hot, scratch), length))
     scratch.tidy()
@@ -209,16 +210,20 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT_SEGMENTS,
     hits = scratch.save(hits)
     scratch.drop(segments, distinct)
     scratch.tidy()
-    covers = places.join(hits, ["h", "s"]).select("d", "t", "at", "starts")
-    spans = covers.groupBy("d", "t").agg(F.collect_list(F.struct("at", "starts")).alias("covers"))
+    covers = places.where("n = 1").join(hits, ["h", "s"]).select("t", "at", "starts")
+    spans = covers.groupBy("t").agg(F.collect_list(F.struct("at", "starts")).alias("covers"), F.lit(False).alias("whole"))
+    copied = texts.where("n > 1").select("t", F.lit(None).cast(spans.schema["covers"].dataType).alias("covers"), F.lit(True).alias("whole"))
 
     def cut(batches):
         for batch in batches:
             texts_, out, sizes, kept = batch.column(1), [], [], []
             for i in range(batch.num_rows):
                 text = texts_[i].as_py()
-                edge = np.zeros(len(text) + 1, np.int32)
-                if batch.column(2)[i].is_valid:
+                if batch.column(3)[i].as_py():
+                    out.append([{"start": 0, "end": len(text)}])
+                    text_kept = b""
+                elif batch.column(2)[i].is_valid:
+                    edge = np.zeros(len(text) + 1, np.int32)
                     at, starts = batch.column(2).slice(i, 1).flatten().flatten()
                     counts = np.diff(np.frombuffer(starts.buffers()[1], np.int32)[starts.offset : starts.offset + len(starts) + 1])
                     where = np.repeat(at.to_numpy(), counts) + starts.flatten().to_numpy()
@@ -235,6 +240,5 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT_SEGMENTS,
                 kept.append(text_kept)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    whole = whole.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("t", F.crc32("text"))
-    return whole.join(spans, ["d", "t"], "left").select("doc_id", "text", "covers").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
+    marked = rows.join(spans.unionByName(copied), "t", "left").select("doc_id", "text", "covers", "whole")
+    return marked.mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")

@@ -233,3 +233,21 @@ def test_margins_order_leaves_as_the_search_does():
     leaves, found = forest.margins(x[0]), forest.search(x[0])
     worth = [leaves[k >> 48][(k >> 24) & 0xFFFFFF, k & 0xFFFFFF] for k in found]
     assert forest.extra > 0 and worth == sorted(np.concatenate([m.ravel() for m in leaves]).tolist(), reverse=True)[:60]
+
+
+def test_repeated_rows_and_null_ids_cost_one_text(spark):
+    """Copies of one row, texts without ids and texts that share an id are told apart by their bytes alone."""
+    rng = np.random.default_rng(21)
+    text = lambda n: "".join(rng.choice(list("abcdefghij klm"), n).tolist())
+    part, lone = text(350), text(900)
+    rows = [(1, text(2000))] * 2000 + [(None, part + text(300) + part), (None, lone), (None, text(500)), (7, part + text(100)), (7, text(400))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(frame).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in got) == brute_removed(rows[:2] + rows[2000:], 200) + collections.Counter({(1, 2000, b"", 1): 1998})
+
+
+def test_repeated_strings_of_a_whole_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = suffix_dedup.remove_repeats(docs).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in got) == brute_removed(rows, 200)
