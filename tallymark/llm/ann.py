@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by cosine: a forest of random-projection trees, one shared priority queue, exact reranking.
 
-The split planes are fitted on at most ``Forest.sample`` vectors (lowest ids by hash); every row is then indexed, by routing
+The split planes are fitted on at most ``Options.sample`` vectors (lowest ids by hash); every row is then indexed, by routing
 it to one leaf of each tree. Leaves keep their size as the table grows: past the fitted planes a leaf is split further by
 random directions through its centre, ``extra`` levels of them, chosen from the row count. A query walks all trees with one
-queue ordered by the smallest margin on the path, until it has opened enough leaves; queries and rows meet per leaf, where
-exact cosines in double precision leave each query its best few, and those are merged.
+queue ordered by the smallest margin on the path, until it has opened enough leaves. Neighbouring leaves of a tree make a part of
+about ``part_rows`` rows; a query travels once to each part that it opens leaves of, and meets their rows there: exact cosines in
+double precision leave it its best few of the part, and those are merged. Parts that got far more rows are dealt out by salt, and
+their queries go to every salt.
 
 How many leaves are enough is measured on every table: ``probes`` of its queries are compared with all rows, and ``visits`` is
-raised until they reach ``recall`` of their true neighbours. Where opening that many leaves is dearer than comparing a query
-with every row (one leaf counts as ``leaf_cost`` rows), all queries are compared with all rows, in blocks, and the result is exact.
+raised until they reach ``recall`` of their true neighbours. Where no plane helps that may be most leaves.
 
-Equal vectors are one row with their smallest ids, as many as a result can need, so a vector that a third of all rows hold is
-neither a hot leaf nor a loss. Equal query vectors are searched once.
+Vectors that are one another times a power of two (equal ones above all) have equal cosines with everything; they are one row with
+their smallest ids, as many as a result can need, so a vector that a third of all rows hold is neither a hot leaf nor a loss.
 
-Defined results: vectors that are null, all zero, of another length than the most common one, or that hold null or non-finite
-components take no part, as query or candidate; a query's own id is no candidate of it; ties go to the smaller id; a table
-with fewer candidates gives all of them; an empty table gives an empty result; only the id and vector columns are read.
+Defined results: vectors that are null, all zero, of another length than the most common one (no cosine is defined between
+lengths), or that hold null or non-finite components take no part, as query or candidate; a query's own id is no candidate of it;
+repeated ids are one candidate; ties go to the smaller id, however many tie; a table with fewer candidates gives all of them; an
+empty table gives an empty result; only the id and vector columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -38,11 +40,11 @@ class Options:
     sample: int = 20_000
     leaf: int = 24
     rows_per_leaf: int = 96
-    visits: int = 900
+    visits: int = 64
     probes: int = 64
     recall: float = 0.95
-    leaf_cost: int = 1000
-    query_block: int = 8192
+    part_rows: int = 20_000
+    crowd: int = 60_000
     seed: int = 5
 
 
@@ -87,6 +89,12 @@ class Forest:
         turns = rng.standard_normal((options.trees, 24, self.dim))
         self.turns = turns / np.linalg.norm(turns, axis=2, keepdims=True)
         self.visits = options.visits
+        self.part_leaves = max(1, options.part_rows // options.rows_per_leaf)
+
+    def part(self, keys: np.ndarray) -> np.ndarray:
+        """The part of each leaf key: some leaves of a tree that follow each other."""
+        place = (((keys >> 24) & 0xFFFFFF) << self.extra) | (keys & 0xFFFFFF)
+        return (keys >> 48 << 48) | place // self.part_leaves
 
     def route(self, x: np.ndarray) -> list[np.ndarray]:
         """Leaf key of every vector in each tree."""
@@ -134,7 +142,6 @@ class Forest:
             heapq.heappush(heap, (-min(margin, m), t, node, level + 1, bits * 2 + 1))
         return found
 
-
     def margins(self, q: np.ndarray) -> list[np.ndarray]:
         """Per tree the smallest margin on the path to each leaf, by (leaf, bits): search opens leaves from the largest down."""
         at = self.planes @ q - self.cuts if len(self.planes) else self.cuts
@@ -172,18 +179,49 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def top_of(ids: np.ndarray, x: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the n best rows of x for every row of q, by exact cosines in double precision."""
-    norms, own = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-    n, wide = min(n, len(ids)), min(len(ids), 2 * n + 6)
-    out_ids, out = np.zeros((len(q), n), np.int64), np.zeros((len(q), n))
-    for lo in range(0, len(q), 256):
-        a = q[lo : lo + 256]
-        at = np.argpartition(-(a @ (x / norms[:, None]).T), wide - 1, axis=1)[:, :wide]
-        score = (x[at] * a[:, None]).sum(2) / (norms[at] * own[lo : lo + 256, None])
-        best = np.lexsort((ids[at], -score), axis=1)[:, :n]
-        out_ids[lo : lo + 256], out[lo : lo + 256] = np.take_along_axis(ids[at], best, 1), np.take_along_axis(score, best, 1)
-    return out_ids, out
+def firsts(group: np.ndarray, ids: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the n best of every group, each id once: larger scores first, then smaller ids."""
+    order = np.lexsort((ids, -score, group))
+    g, i = group[order], ids[order]
+    if len(order) > 1:  # the same row met twice has one score, so it stands beside itself
+        once = np.append(True, (g[1:] != g[:-1]) | (i[1:] != i[:-1]))
+        order, g = order[once], g[once]
+    start = np.flatnonzero(np.append(True, g[1:] != g[:-1])[: len(g)])
+    sizes = np.diff(np.append(start, len(g)))
+    return order[np.arange(len(g)) - np.repeat(start, sizes) < n]
+
+
+def best_in_leaves(leaf: np.ndarray, ids: np.ndarray, x: np.ndarray, q: np.ndarray, opened: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, id, score) of the n best rows, by exact cosines, in the leaves that each query opened; leaf is ascending."""
+    norm, own = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+    u, uq = x / norm[:, None], q / own[:, None]
+    names, first = np.unique(leaf, return_index=True)
+    ends = np.append(first[1:], len(leaf))
+    wanted, asker = np.concatenate(opened), np.repeat(np.arange(len(q)), [len(o) for o in opened])
+    at = np.minimum(np.searchsorted(names, wanted), max(len(names) - 1, 0))
+    hit = np.flatnonzero(names[at] == wanted) if len(names) else np.zeros(0, int)
+    hit = hit[np.argsort(at[hit], kind="stable")]
+    at, asker = at[hit], asker[hit]
+    edge = np.flatnonzero(np.append(True, at[1:] != at[:-1])[: len(at)])
+    least, found = np.full(len(q), -2.0), []
+    for lo, hi in zip(edge, np.append(edge[1:], len(at)), strict=True):
+        a, b = first[at[lo]], ends[at[lo]]
+        step = max(1, 2_000_000 // (b - a))
+        for c in range(lo, hi, step):
+            who = asker[c : min(c + step, hi)]
+            rough = uq[who] @ u[a:b].T
+            if b - a >= n:
+                least[who] = np.maximum(least[who], np.partition(rough, b - a - n, axis=1)[:, b - a - n])
+            i, j = np.nonzero(rough >= least[who][:, None] - 1e-9)
+            i, j = who[i], j + a
+            score = np.einsum("ij,ij->i", x[j], q[i]) / (norm[j] * own[i])
+            keep = firsts(i, ids[j], score, n)
+            found.append((i[keep], ids[j][keep], score[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, name, score = (np.concatenate([f[k] for f in found]) for k in range(3))
+    keep = firsts(i, name, score, n)
+    return i[keep], name[keep], score[keep]
 
 
 def compare_all(data: DataFrame, qids: np.ndarray, q: np.ndarray, n: int) -> DataFrame:
@@ -193,14 +231,15 @@ def compare_all(data: DataFrame, qids: np.ndarray, q: np.ndarray, n: int) -> Dat
 
     def scan(batches):
         names, wide = asked.value[0], asked.value[1].astype(np.float64)
-        ids, score = np.zeros((len(wide), 0), np.int64), np.zeros((len(wide), 0))
+        who, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        one = [np.zeros(1, np.int64)] * len(wide)  # all rows as one leaf
         for batch in batches:
             if batch.num_rows:
-                new = top_of(batch.column(0).to_numpy(), vectors(batch, 1, dim), wide, n)
-                ids, score = np.hstack([ids, new[0]]), np.hstack([score, new[1]])
-                best = np.lexsort((ids, -score), axis=1)[:, :n]
-                ids, score = np.take_along_axis(ids, best, 1), np.take_along_axis(score, best, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, ids.shape[1])), pa.array(ids.ravel()), pa.array(score.ravel())], names=["qid", "id", "score"])
+                new = best_in_leaves(np.zeros(batch.num_rows, np.int64), batch.column(0).to_numpy(), vectors(batch, 1, dim), wide, one, n)
+                who, ids, score = np.append(who, new[0]), np.append(ids, new[1]), np.append(score, new[2])
+                keep = firsts(who, ids, score, n)
+                who, ids, score = who[keep], ids[keep], score[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(names[who]), pa.array(ids), pa.array(score)], names=["qid", "id", "score"])
 
     return data.select("id", "v").mapInArrow(scan, "qid long, id long, score double")
 
@@ -209,8 +248,8 @@ def held(frame: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids and vectors of a bounded frame(id, v) on the driver."""
     got = frame.toArrow()
     v = got.column("v").combine_chunks()
-    flat = v.flatten().to_numpy() if len(got) else np.zeros(0, np.float32)
-    return got.column("id").to_numpy(), flat.astype(np.float32).reshape(-1, dim)
+    flat = v.flatten().to_numpy() if len(got) else np.zeros(0)
+    return got.column("id").to_numpy(), flat.reshape(-1, dim)
 
 
 def enough_visits(forest: Forest, data: DataFrame, queries: DataFrame, k: int, options: Options) -> int:
@@ -235,37 +274,27 @@ def nearest(rows: DataFrame, is_query, k: int = 5, options: Options = Options(),
     scratch = Scratch(spark, "ann")
     K.small_batches(spark)
     good = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector_col, lambda x: x != 0)
-    clean = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"))
+    kind = "array<double>" if "double" in rows.schema[vector_col].dataType.simpleString() else "array<float>"
+    clean = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("v"))
     common = clean.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
     dim = common[0]["n"] if common else 1
-    clean = clean.where(F.size("v") == dim)
-    # equal vectors: their k + 1 smallest ids are all that any result can hold
-    few = clean.withColumn("nth", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
-    data = scratch.save(few.groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("id", F.element_at("ids", 1)))
+    # vectors over the power of two below their largest component; their k + 1 smallest ids are all that any result can hold
+    power = F.pow(F.lit(2.0), F.floor(F.log2(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))).cast("double"))
+    clean = clean.where(F.size("v") == dim).withColumn("power", power).withColumn("way", F.transform("v", lambda x: x.cast("double") / F.col("power") + F.lit(0.0))).drop("power")
+    few = clean.withColumn("nth", F.row_number().over(Window.partitionBy("way").orderBy("id"))).where(F.col("nth") <= k + 1)
+    data = scratch.save(few.groupBy("way").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.min_by("v", "id").alias("v")).withColumn("id", F.element_at("ids", 1)))
     total = data.count()
-    asked = clean.where(is_query(F.col("id"))).select("id", "v")
-    owners = asked.join(data.select("v", F.col("id").alias("qid")), "v").select(F.col("id").alias("query_id"), "qid")
-    owners = scratch.save(owners)
-    queries = owners.select(F.col("qid").alias("id")).distinct().join(data.select("id", "v"), "id")
-    dear = total <= options.visits * options.leaf_cost
-    if not dear:
-        got = data.orderBy(F.xxhash64("id"), "id").limit(options.sample).select("v").toPandas()["v"]
-        built = Forest(unit(np.stack([np.asarray(v, np.float64) for v in got])), options, total)
-        built.visits = enough_visits(built, data, queries, k, options)
-        dear = total <= built.visits * options.leaf_cost
-    if dear:
-        blocks = max(1, -(-queries.count() // options.query_block))
-        part = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks))
-        scored = None
-        for b in range(blocks):
-            qids, q = held(queries.where(part == b), dim)
-            if len(qids):
-                best = scratch.save(compare_all(data, qids, q, k + 1))
-                scored = best if scored is None else scored.unionByName(best)
-        if scored is None:
-            scored = spark.createDataFrame([], "qid long, id long, score double")
+    asked = clean.where(is_query(F.col("id"))).select("id", "way")
+    owners = scratch.save(asked.join(data.select("way", F.col("id").alias("qid")), "way").select(F.col("id").alias("query_id"), "qid").distinct())
+    queries = scratch.save(owners.select(F.col("qid").alias("id")).distinct().join(data.select("id", "v"), "id"))
+    if not total:
+        scored = spark.createDataFrame([], "qid long, id long, score double")
     else:
-        scored = meet_in_leaves(data, queries, spark.sparkContext.broadcast(built), dim, k)
+        _, sample = held(data.orderBy(F.xxhash64("id"), "id").limit(options.sample).select("id", "v"), dim)
+        built = Forest(unit(sample.astype(np.float64)), options, total)
+        del sample
+        built.visits = enough_visits(built, data, queries, k, options)
+        scored = meet_in_leaves(data, queries, spark.sparkContext.broadcast(built), dim, k, kind, options, scratch)
     ordered = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
     top = scored.withColumn("nth", F.row_number().over(ordered)).where(F.col("nth") <= k + 1).select("qid", "id", "score")
     spread = scratch.save(top.join(data.select("id", "ids"), "id").select("qid", F.explode("ids").alias("vec_id"), "score"))
@@ -274,65 +303,72 @@ def nearest(rows: DataFrame, is_query, k: int = 5, options: Options = Options(),
     return mine.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def meet_in_leaves(data: DataFrame, queries: DataFrame, forest, dim: int, k: int) -> DataFrame:
-    """qid, id, score: the best rows for each query in the leaves that it opens."""
+def meet_in_leaves(data: DataFrame, queries: DataFrame, forest, dim: int, k: int, kind: str, options: Options, scratch: Scratch) -> DataFrame:
+    """qid, id, score: the best rows for each query in the leaves that it opens, part by part; a row may come from several parts."""
+    names = ["part", "kind", "id", "v", "leaf", "opened"]
+    schema = f"part long, kind int, id long, v {kind}, leaf long, opened array<long>"
 
     def index(batches):
         for batch in batches:
             x = vectors(batch, 1, dim)
             for keys in forest.value.route(unit(x)) if len(x) else []:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.zeros(len(x), np.int32)), batch.column(0), batch.column(1)], names=["leaf", "kind", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(forest.value.part(keys)), pa.array(np.zeros(len(x), np.int32)), batch.column(0), batch.column(1), pa.array(keys), pa.nulls(len(x), pa.list_(pa.int64()))], names=names)
+
+    def parts_only(batches):
+        for batch in batches:
+            x = vectors(batch, 1, dim)
+            for keys in forest.value.route(unit(x)) if len(x) else []:
+                yield pa.RecordBatch.from_arrays([pa.array(forest.value.part(keys))], names=["part"])
 
     def ask(batches):
         for batch in batches:
-            x = unit(vectors(batch, 1, dim))
-            found = [forest.value.search(q) for q in x]
-            owner = np.repeat(np.arange(len(x)), [len(f) for f in found])
-            keys = np.array([key for f in found for key in f], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.ones(len(keys), np.int32)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))], names=["leaf", "kind", "id", "v"])
-
-    schema = "leaf long, kind int, id long, v array<float>"
-    meet = data.select("id", "v").mapInArrow(index, schema).unionByName(queries.select("id", "v").mapInArrow(ask, schema))
-
-    def leaf_best(ids, x, qids, q):
-        norms = np.sqrt((x * x).sum(1))
-        for lo in range(0, len(qids), 256):
-            rough = q[lo : lo + 256] @ (x / norms[:, None]).T
-            n = min(len(ids), 2 * k + 8)
-            top = np.argpartition(-rough, n - 1, axis=1)[:, :n]
-            for row, at in enumerate(top):
-                a = q[lo + row]
-                score = (x[at] * a).sum(1) / (norms[at] * np.sqrt((a * a).sum()))
-                best = np.lexsort((ids[at], -score))[: k + 1]
-                yield np.full(len(best), qids[lo + row]), ids[at][best], score[best]
+            owner, part, opened = [], [], []
+            for i, q in enumerate(unit(vectors(batch, 1, dim))):
+                keys = np.sort(np.array(forest.value.search(q), np.int64))
+                of = forest.value.part(keys)  # ascending, as the keys are
+                edge = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                owner += [i] * len(edge)
+                part += of[edge].tolist()
+                opened += np.split(keys, edge[1:])
+            if owner:
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(np.ones(len(owner), np.int32)), batch.column(0).take(own), batch.column(1).take(own), pa.nulls(len(owner), pa.int64()), pa.array(opened, pa.list_(pa.int64()))], names=names)
+
+    rows, asks = (t.select("id", "v").mapInArrow(f, schema) for t, f in ((data, index), (queries, ask)))
+    sizes = data.select("id", "v").mapInArrow(parts_only, "part long").groupBy("part").count()
+    crowded = scratch.save(sizes.where(F.col("count") > options.crowd).select("part", F.ceil(F.col("count") / options.part_rows).cast("int").alias("salts")))
+    if crowded.limit(1).count():
+        rows = rows.join(crowded, "part", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0)))
+        asks = asks.join(crowded, "part", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    else:
+        rows, asks = (t.withColumn("salt", F.lit(0)) for t in (rows, asks))
+    met = rows.select("salt", *names).unionByName(asks.select("salt", *names))
 
     def rerank(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush():
-            if not held:
-                return
-            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held.clear()
-            leaf, kind, ids, x = t.column(0).to_numpy(), t.column(1).to_numpy(), t.column(2).to_numpy(), vectors(t, 3, dim)
-            edge = np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1]))
-            out = []
-            for a, b in zip(edge, np.append(edge[1:], len(leaf)), strict=True):
-                mid = a + int(np.searchsorted(kind[a:b], 1))
-                if a < mid < b:
-                    out += leaf_best(ids[a:mid], x[a:mid], ids[mid:b], x[mid:b])
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in range(3)], names=["qid", "id", "score"])
-
+        """Sorted by part and salt, rows before queries: rows are held until the next part, queries are answered as they come."""
+        here, held, made = None, [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            leaf = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(leaf, leaf[-1]))
-            if cut or (held and held[-1].column(0)[0].as_py() != leaf[0]):
-                held.append(batch.slice(0, cut))
-                yield from flush()
-            held.append(batch.slice(cut))
-        yield from flush()
-
-    return meet.repartition(F.col("leaf")).sortWithinPartitions("leaf", "kind").mapInArrow(rerank, "qid long, id long, score double").distinct()
+            n = batch.num_rows
+            salt, part, what = (batch.column(i).to_numpy() for i in range(3))
+            turn = np.append(True, (salt[1:] != salt[:-1]) | (part[1:] != part[:-1]) | (what[1:] != what[:-1]))
+            edge = np.flatnonzero(turn[:n])
+            for a, b in zip(edge, np.append(edge[1:], n), strict=True):
+                run = batch.slice(a, b - a)
+                if (part[a], salt[a]) != here:
+                    here, held, made = (part[a], salt[a]), [], None
+                if not what[a]:
+                    held.append(run)
+                    continue
+                if not held:
+                    continue
+                if made is None:
+                    t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    held = [run]  # any: the rows now stand in the arrays
+                    order = np.argsort(t.column(5).to_numpy(), kind="stable")
+                    made = t.column(5).to_numpy()[order], t.column(3).to_numpy()[order], vectors(t, 4, dim)[order]
+                qids, q, lists = run.column(3).to_numpy(), vectors(run, 4, dim), run.column(6)
+                who, ids, score = best_in_leaves(*made, q, [lists[i].values.to_numpy() for i in range(len(q))], k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(qids[who]), pa.array(ids), pa.array(score)], names=["qid", "id", "score"])
+
+    ready = met.repartition(F.col("part"), F.col("salt")).sortWithinPartitions("part", "salt", "kind")
+    return ready.mapInArrow(rerank, "qid long, id long, score double").distinct()

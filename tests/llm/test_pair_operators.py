@@ -189,7 +189,7 @@ def test_forest_recall_on_isotropic_vectors():
     """The hardest case for planes: no direction tells more than another."""
     rng = np.random.default_rng(6)
     x = ann.unit(rng.standard_normal((12_000, 48)))
-    forest = ann.Forest(x[:6000], ann.Options(), len(x))
+    forest = ann.Forest(x[:6000], ann.Options(visits=900), len(x))
     leaves = collections.defaultdict(list)
     for keys in forest.route(x):
         for i, k in enumerate(keys.tolist()):
@@ -202,18 +202,18 @@ def test_forest_recall_on_isotropic_vectors():
         score[q] = -2
         hit += len(found & set(np.argsort(-score)[:5].tolist()))
     assert hit / (5 * 40) >= 0.9
-    deep = ann.Forest(x[:500], ann.Options(rows_per_leaf=16), len(x))
+    deep = ann.Forest(x[:500], ann.Options(rows_per_leaf=16, visits=900), len(x))
     assert deep.extra > 0 and len(set(deep.route(x)[0].tolist())) > 2 * len(deep.centres[0])
-    assert len(deep.search(x[0])) == ann.Options().visits or len(deep.search(x[0])) == 8 * len(deep.centres[0]) << deep.extra
+    assert len(deep.search(x[0])) == 900 or len(deep.search(x[0])) == 8 * len(deep.centres[0]) << deep.extra
 
 
-@pytest.mark.parametrize("leaf_cost", [0, 1000])
-def test_few_visits_lose_no_neighbours(spark, leaf_cost):
-    """Opened leaves follow the measured recall, whatever the options begin with; leaf_cost 0 keeps to the forest."""
+@pytest.mark.parametrize("crowd", [60_000, 300])
+def test_few_visits_lose_no_neighbours(spark, crowd):
+    """Opened leaves follow the measured recall, whatever the options begin with; crowded parts are dealt out by salt."""
     rng = np.random.default_rng(12)
     x = rng.standard_normal((6000, 24)).astype(np.float32)
     frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    options = ann.Options(visits=5, sample=800, rows_per_leaf=12, leaf_cost=leaf_cost, query_block=20)
+    options = ann.Options(visits=5, sample=800, rows_per_leaf=12, part_rows=250, crowd=crowd)
     got = collections.defaultdict(set)
     for r in ann.nearest(frame, lambda c: c % 50 == 0, 5, options).collect():
         got[r.query_id].add(r.vec_id)
@@ -223,7 +223,7 @@ def test_few_visits_lose_no_neighbours(spark, leaf_cost):
         score = unit @ unit[q]
         score[q] = -2
         hit += len(got[q] & set(np.argsort(-score)[:5].tolist()))
-    assert hit / 600 >= (0.9 if leaf_cost == 0 else 1)
+    assert hit / 600 >= 0.9
 
 
 def test_margins_order_leaves_as_the_search_does():
@@ -251,3 +251,19 @@ def test_repeated_strings_of_a_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = suffix_dedup.remove_repeats(docs).collect()
     assert collections.Counter((r.doc_id, r.n_bytes, bytes(r.kept), len(r.spans)) for r in got) == brute_removed(rows, 200)
+
+
+def test_nearest_ties_go_to_the_smaller_id(spark):
+    """Forty multiples of one vector, by powers of two and by other factors whose cosines are equal all the same."""
+    rng = np.random.default_rng(14)
+    x = rng.standard_normal((150, 8)).round(3)
+    for i in range(40):
+        x[51 + i] = x[50] * 2.0 ** (i % 7 - 3)
+    axes = np.zeros((41, 8))
+    axes[:, 0] = [3.0 + i for i in range(41)]  # parallel to an axis: every factor gives the cosine exactly
+    x = np.concatenate([x, axes])
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(frame, lambda c: c.isin(50, 150, 170), 5, ann.Options(part_rows=96, crowd=50)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {50: [51, 52, 53, 54, 55], 150: [151, 152, 153, 154, 155], 170: [150, 151, 152, 153, 154]}
