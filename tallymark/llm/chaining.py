@@ -1,17 +1,25 @@
 """Fuzzy repeated passages by collinear chaining.
 
-Seeds are 8-word strings chosen by winnowing (in any 23 words at least one), so a passage that two texts share keeps common
+Seeds are 6-word strings chosen by winnowing (in any 17 words at least one), so a passage that two texts share keeps common
 seeds under scattered edits. Every seed links its occurrences to one canonical place, that of the lowest document id, and
 never to each other: a passage in n documents gives n - 1 pairs. Per pair of texts the ordered matches are chained with a
 linear gap cost, the best predecessor found by prefix maxima in a Fenwick tree; chains are then aligned word by word (gaps
-between anchors by longest common subsequence, ends by X-drop extension), split where the alignment is poor, and reported
-when at least ``min_words`` long and ``identity`` alike.
-
-Equal texts are one text for all of this; further copies are reported as whole-text passages of the first. Words are folded
-to lower case (A-Z). Texts move once, to hand out the word hashes of the stretches to align.
-
-Defined results: null and short texts have no passages; repeated rows are copies of each other; a passage repeated inside one
-document only is not reported; null ids come last and are reported as null; empty tables give an empty result.
+between anchors by longest common subsequence, at any length, ends by X-drop extension), split where the alignment is poor, and
+reported when at least ``min_words`` long and ``identity`` alike.
+
+A canonical place that shares too little hides a passage that later texts share. So seeds that some text is left with outside all
+passages found are linked again, by longer keys that no place with a short part of the passage can answer: every string of
+``min_words`` words around them (which finds every passage that long without edits, whoever came first) and pairs of seeds half
+that far apart (for edited ones).
+
+Equal texts, known by their MD5, are one text for all of this; further copies are reported as whole-text passages of the first.
+Words are folded to lower case (A-Z). Texts move to be merged, and to hand out the word hashes of the stretches to align.
+
+Defined results: null texts and texts under ``min_words`` words have no passages; very long texts are a slice of their own and
+treated alike; the texts of rows that share an id are told apart, a passage between two of them has that id on both sides;
+repeated rows (of one id and text) are not reported against each other; a passage repeated inside one document only is not
+reported; null ids come last and are reported as null; ties between places go to the lower id, then text, then position; empty
+tables give an empty result; ``passages`` reads only doc_id and text, ``remove_passages`` returns all other columns as they are.
 """
 
 from __future__ import annotations
@@ -32,8 +40,8 @@ NO_ID = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Options:
-    seed_words: int = 8
-    window: int = 16
+    seed_words: int = 6
+    window: int = 12
     min_words: int = 50
     identity: float = 0.8
     gap_cost: float = 0.1
@@ -116,12 +124,17 @@ def chain(x: np.ndarray, y: np.ndarray, gain: float, cost: float) -> list[np.nda
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two short word sequences."""
-    row = np.zeros(len(b) + 1, np.int32)
-    for w in a:
-        up = np.maximum(row[1:], row[:-1] + (b == w))
-        row[1:] = np.maximum.accumulate(up)
-    return int(row[-1])
+    """Length of the longest common subsequence of two word sequences, a bit for every word of b."""
+    where: dict[int, int] = {}
+    for j, w in enumerate(b.tolist()):
+        where[w] = where.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a.tolist():
+        hit = row & where.get(w, 0)
+        if hit:
+            row = (row + hit | row - hit) & full
+    return len(b) - row.bit_count()
 
 
 def _extend(a: np.ndarray, b: np.ndarray, drop: int) -> tuple[int, int]:
@@ -153,7 +166,8 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, options: O
             gap_a, gap_b = a[last[1] : p], b[last[3] : q]
             same = int((gap_a == gap_b).sum()) if dx == dy else 0
             if max(dx, dy) and (dx != dy or same < 0.8 * dx):
-                same = max(same, _common(gap_a, gap_b)) if max(dx, dy) <= 400 else same
+                if max(dx, dy) <= 15 or 2 * min(dx, dy) >= max(dx, dy):  # else too few words could be equal
+                    same = max(same, _common(gap_a, gap_b))
             if max(dx, dy) <= 15 or same >= 0.5 * max(dx, dy):
                 last[1], last[3], last[4] = p + k - over, q + k - over, last[4] + same + k - over
                 continue
@@ -171,27 +185,26 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, options: O
     return out
 
 
-def passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """doc_id, source_id, start_word, end_word, source_start, source_end, n_words, identity: one row per passage of a document that an earlier one has."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "chains")
-    K.small_batches(spark)
-    reach = options.seed_words + options.window + options.min_words
+def distinct_texts(docs: DataFrame, min_words: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows(d, t, text), texts(t, d, n, text)): every row with its text's name, and each text that can hold a passage once, with its lowest id."""
     text = F.coalesce("text", F.lit("")).cast("binary")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text, F.lit(71)).alias("key"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.unhex(F.md5(text)).alias("t"), text.alias("text"))
+    once = rows.where(F.octet_length("text") >= 2 * min_words - 1).groupBy("t").agg(F.min("d").alias("d"), F.count("*").alias("n"), F.first("text").alias("text"))
+    return rows, scratch.save(once)
 
-    def find(batches):
-        for batch in batches:
-            ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for lo, hi, buf, off in K.text_slices(batch):
-                owner, h, pos = seeds(buf, off, options)
-                if len(owner):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[lo:hi][owner]), pa.array(keys[lo:hi][owner]), pa.array(pos.astype(np.int32))], names=["h", "d", "key", "pos"])
 
-    found = texts.mapInArrow(find, "h long, d long, key long, pos int")
-    canon = found.groupBy("h").agg(F.min("key").alias("k0"), F.max("key").alias("k1"), F.min(F.struct("d", "key", "pos")).alias("c")).where("k0 <> k1")
-    canon = scratch.save(canon.select("h", F.col("c.d").alias("cd"), F.col("c.key").alias("ck"), F.col("c.pos").alias("cpos")))
-    met = found.join(canon, "h").where("key <> ck").groupBy("key", "ck").agg(F.min("d").alias("d"), F.min("cd").alias("cd"), F.collect_set(F.struct("pos", "cpos")).alias("at"))
+def line_up_keys(texts: DataFrame, found: DataFrame, options: Options, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(keys that two texts or more have, as (h, t, pos); the passages that they lead to).
+
+    found(h, d, t, pos): places of keys. Every place is linked to the lowest (d, t, pos) of its key; passages are rows
+    (t, ct, d, cd, start_word, end_word, source_start, source_end, identity).
+    """
+    reach = options.seed_words + options.window + options.min_words
+    grain = 16  # stretches begin and end on multiples, so that the many pairs of one text ask for few different ones
+    canon = found.groupBy("h").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min(F.struct("d", "t", "pos")).alias("c")).where("t0 <> t1")
+    canon = scratch.save(canon.select("h", F.col("c.d").alias("cd"), F.col("c.t").alias("ct"), F.col("c.pos").alias("cpos")))
+    shared = scratch.save(found.join(canon, "h"))
+    met = shared.where("t <> ct").groupBy("t", "ct").agg(F.min("d").alias("d"), F.min("cd").alias("cd"), F.collect_set(F.struct("pos", "cpos")).alias("at"))
 
     def chains(batches):
         for batch in batches:
@@ -200,17 +213,18 @@ def passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
                 x, y = (c.to_numpy().astype(np.int64) for c in batch.column(4).slice(i, 1).flatten().flatten())
                 for use in chain(x, y, float(options.seed_words), options.gap_cost):
                     a, b = x[use], y[use]
-                    lo, clo = max(0, int(a[0]) - reach), max(0, int(b[0]) - reach)
-                    rows.append((i, lo, int(a[-1]) + options.seed_words + reach, clo, int(b[-1]) + options.seed_words + reach, (a - lo).astype(np.int32), (b - clo).astype(np.int32)))
+                    lo, clo = (max(0, int(z[0]) - reach) // grain * grain for z in (a, b))
+                    hi, chi = (-(-(int(z[-1]) + options.seed_words + reach) // grain) * grain for z in (a, b))
+                    rows.append((i, lo, hi, clo, chi, (a - lo).astype(np.int32), (b - clo).astype(np.int32)))
             if rows:
                 owner, *cols = zip(*rows, strict=True)
                 kinds = [pa.int32()] * 4 + [pa.list_(pa.int32())] * 2
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in range(4)), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=["key", "ck", "d", "cd", "lo", "hi", "clo", "chi", "x", "y"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in range(4)), *(pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True))], names=["t", "ct", "d", "cd", "lo", "hi", "clo", "chi", "x", "y"])
 
-    linked = scratch.save(met.select("key", "ck", "d", "cd", "at").mapInArrow(chains, "key long, ck long, d long, cd long, lo int, hi int, clo int, chi int, x array<int>, y array<int>"))
+    linked = scratch.save(met.select("t", "ct", "d", "cd", "at").mapInArrow(chains, "t binary, ct binary, d long, cd long, lo int, hi int, clo int, chi int, x array<int>, y array<int>"))
     scratch.tidy()
-    wanted = linked.select("d", "key", "lo", "hi").unionByName(linked.select(F.col("cd").alias("d"), F.col("ck").alias("key"), F.col("clo").alias("lo"), F.col("chi").alias("hi"))).distinct()
-    lists = wanted.groupBy("d", "key").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
+    wanted = linked.select("t", "lo", "hi").unionByName(linked.select(F.col("ct").alias("t"), F.col("clo").alias("lo"), F.col("chi").alias("hi"))).distinct()
+    lists = wanted.groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("parts"))
 
     def hand_out(batches):
         for batch in batches:
@@ -221,45 +235,157 @@ def passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
                     words = short[first[i] : first[i + 1]]
                     lo, hi = batch.column(2).slice(lo_ + i, 1).flatten().flatten()
                     cut = [words[a:b].tobytes() for a, b in zip(lo.to_pylist(), hi.to_pylist(), strict=True)]
-                    key = pa.repeat(batch.column(0)[lo_ + i], len(cut))
-                    yield pa.RecordBatch.from_arrays([key, lo, hi, pa.array(cut, pa.binary())], names=["key", "lo", "hi", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[lo_ + i], len(cut)), lo, hi, pa.array(cut, pa.binary())], names=["t", "lo", "hi", "words"])
 
-    cuts = texts.join(lists, ["d", "key"]).select("key", "text", "parts").mapInArrow(hand_out, "key long, lo int, hi int, words binary")
-    cuts = scratch.save(cuts.dropDuplicates(["key", "lo", "hi"]))
+    cuts = scratch.save(texts.join(lists, "t").select("t", "text", "parts").mapInArrow(hand_out, "t binary, lo int, hi int, words binary"))
     scratch.tidy()
 
     def line_up(batches):
         for batch in batches:
             rows = []
-            xs, ys, wa, wb = (batch.column(c) for c in (4, 5, 6, 7))
+            xs, ys, wa, wb = (batch.column(c) for c in (6, 7, 8, 9))
             for i in range(batch.num_rows):
                 a, b = np.frombuffer(wa[i].as_py(), np.uint32), np.frombuffer(wb[i].as_py(), np.uint32)
                 rows += [(i, *p) for p in align(a, b, xs[i].values.to_numpy(), ys[i].values.to_numpy(), options)]
             if rows:
                 owner, x0, x1, y0, y1, alike = (np.array(c) for c in zip(*rows, strict=True))
-                lo, clo = batch.column(2).to_numpy()[owner], batch.column(3).to_numpy()[owner]
+                lo, clo = batch.column(4).to_numpy()[owner], batch.column(5).to_numpy()[owner]
                 at = [pa.array((v + o).astype(np.int32)) for v, o in ((x0, lo), (x1, lo), (y0, clo), (y1, clo))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), *at, pa.array(alike.astype(np.float64))], names=["key", "cd", "start_word", "end_word", "source_start", "source_end", "identity"])
-
-    side = lambda k, lo, hi, name: cuts.select(F.col("key").alias(k), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("words").alias(name))
-    both = linked.join(side("key", "lo", "hi", "wa"), ["key", "lo", "hi"]).join(side("ck", "clo", "chi", "wb"), ["ck", "clo", "chi"])
-    lined = scratch.save(both.select("key", "cd", "lo", "clo", "x", "y", "wa", "wb").mapInArrow(line_up, "key long, cd long, start_word int, end_word int, source_start int, source_end int, identity double"))
-    who = texts.select("key", "d")
-    cols = ["start_word", "end_word", "source_start", "source_end", "identity"]
-    rows = who.join(lined, "key").select("d", "cd", *cols)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(owner)) for c in range(4)), *at, pa.array(alike.astype(np.float64))], names=["t", "ct", "d", "cd", *PLACES, "identity"])
+
+    side = lambda k, lo, hi, name: cuts.select(F.col("t").alias(k), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("words").alias(name))
+    both = linked.join(side("t", "lo", "hi", "wa"), ["t", "lo", "hi"]).join(side("ct", "clo", "chi", "wb"), ["ct", "clo", "chi"])
+    lined = both.select("t", "ct", "d", "cd", "lo", "clo", "x", "y", "wa", "wb").mapInArrow(line_up, "t binary, ct binary, d long, cd long, " + ", ".join(f"{c} int" for c in PLACES) + ", identity double")
+    return shared.select("h", "t", "pos"), scratch.save(lined)
+
+
+def longer_keys(texts: DataFrame, shared: DataFrame, lined: DataFrame, options: Options, scratch: Scratch) -> DataFrame:
+    """(h, d, t, pos): longer keys around every shared seed that some text has outside the passages found."""
+    k, least = options.seed_words, options.min_words
+    sides = lined.select("t", F.col("start_word").alias("lo"), F.col("end_word").alias("hi")).unionByName(lined.select(F.col("ct").alias("t"), F.col("source_start").alias("lo"), F.col("source_end").alias("hi")))
+    # on multiples of eight, inwards: the many passages of one hub are few different stretches
+    covers = sides.select("t", F.ceil(F.col("lo") / 8).cast("int").alias("lo"), F.floor(F.col("hi") / 8).cast("int").alias("hi")).distinct().groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("covers"))
+    seeds_of = shared.groupBy("t").agg(F.collect_set(F.struct("h", "pos")).alias("seeds"))
+
+    def outside(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                h, pos = (c.to_numpy() for c in batch.column(0).slice(i, 1).flatten().flatten())
+                inside = np.zeros(len(h), bool)
+                if batch.column(1)[i].is_valid:
+                    for lo, hi in zip(*(c.to_numpy() for c in batch.column(1).slice(i, 1).flatten().flatten()), strict=True):
+                        inside |= (pos >= 8 * lo - 7) & (pos + k <= 8 * hi + 7)
+                out.append(np.unique(h[~inside]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["h"])
+
+    loose = scratch.save(seeds_of.join(covers, "t", "left").select("seeds", "covers").mapInArrow(outside, "h long").distinct())
+    again = shared.join(loose, "h").groupBy("t").agg(F.collect_set(F.struct("pos", "h")).alias("seeds"))
+
+    def keys(batches):
+        for batch in batches:
+            for lo, hi, buf, off in K.text_slices(batch):
+                words, first = word_hashes(buf, off)
+                total = np.zeros(len(words) + 1, np.uint64)
+                p, inverse = K.powers(len(words) + 1)
+                np.cumsum(words * p[: len(words)], out=total[1:])
+                for i in range(hi - lo):
+                    pos, h = (c.to_numpy() for c in batch.column(3).slice(lo + i, 1).flatten().flatten())
+                    order = np.lexsort((h, pos))
+                    pos, h = pos[order].astype(np.int64), h[order].view(np.uint64)
+                    begin, end = first[i], first[i + 1]
+                    starts = np.unique((pos[:, None] - np.arange(least - k + 1)).ravel())
+                    starts = starts[(starts >= 0) & (starts + least <= end - begin)] + begin
+                    window = K.mix((total[starts + least] - total[starts]) * inverse[starts])
+                    at, key = [starts - begin], [window]
+                    near = np.searchsorted(pos, pos + least // 2)
+                    for step in range(3):
+                        other = near + step
+                        use = np.flatnonzero(other < len(pos))
+                        use = use[pos[other[use]] - pos[use] <= 2 * least]
+                        pair = K.mix(h[use] * U64(3) + h[other[use]])
+                        at += [pos[use], pos[other[use]]]
+                        key += [K.mix(pair + U64(1)), K.mix(pair + U64(2))]
+                    at, key = np.concatenate(at).astype(np.int32), np.concatenate(key)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.repeat(batch.column(1)[lo + i], len(at)), pa.repeat(batch.column(0)[lo + i], len(at)), pa.array(at)], names=["h", "d", "t", "pos"])
+
+    return texts.join(again, "t").select("t", "d", "text", "seeds").mapInArrow(keys, SEEDS)
+
+
+PLACES = ["start_word", "end_word", "source_start", "source_end"]
+SEEDS = "h long, d long, t binary, pos int"
+
+
+def passages_of(texts: DataFrame, options: Options, scratch: Scratch) -> DataFrame:
+    """(t, ct, d, cd, places, identity): the passages between different texts(t, d, n, text)."""
+
+    def find(batches):
+        for batch in batches:
+            for lo, hi, buf, off in K.text_slices(batch):
+                owner, h, pos = seeds(buf, off, options)
+                if len(owner):
+                    own = pa.array(owner + lo)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).take(own), batch.column(0).take(own), pa.array(pos.astype(np.int32))], names=["h", "d", "t", "pos"])
+
+    shared, lined = line_up_keys(texts, texts.select("t", "d", "text").mapInArrow(find, SEEDS), options, scratch)
+    keyed = scratch.save(longer_keys(texts, shared, lined, options, scratch))
+    scratch.tidy()
+    if not keyed.limit(1).count():
+        return lined
+    _, more = line_up_keys(texts, keyed, options, scratch)
+    old = lined.select(F.col("t").alias("t_"), F.col("ct").alias("ct_"), *(F.col(c).alias(c + "_") for c in PLACES))
+    middle, source = F.expr("(start_word + end_word) div 2"), F.expr("(source_start + source_end) div 2")
+    known = (F.col("t") == F.col("t_")) & (F.col("ct") == F.col("ct_")) & middle.between(F.col("start_word_"), F.col("end_word_")) & source.between(F.col("source_start_"), F.col("source_end_"))
+    return scratch.save(lined.unionByName(more.join(old, known, "left_anti").distinct()))
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(t, words) of texts(t, text)."""
+
+    def count(batches):
+        for batch in batches:
+            for lo, hi, buf, off in K.text_slices(batch):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(K.word_spans(buf, off)[2]).astype(np.int32))], names=["t", "words"])
+
+    return texts.select("t", "text").mapInArrow(count, "t binary, words int")
+
+
+def copied(texts: DataFrame, options: Options) -> DataFrame:
+    """(t, first, words) of the texts of ``min_words`` words or more that several rows have."""
+    many = texts.where("n > 1")
+    return word_counts(many).where(F.col("words") >= options.min_words).join(many.select("t", F.col("d").alias("first")), "t")
+
+
+def passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
+    """doc_id, source_id, start_word, end_word, source_start, source_end, n_words, identity: one row per passage of a document that an earlier one has."""
+    scratch = Scratch(docs.sparkSession, "chains")
+    K.small_batches(docs.sparkSession)
+    rows, texts = distinct_texts(docs, options.min_words, scratch)
+    lined = passages_of(texts, options, scratch)
+    who = rows.select("t", F.col("d").alias("own"))
+    out = who.join(lined, "t").select(F.col("own").alias("d"), "cd", *PLACES, "identity")
     if options.copies:
-        first = scratch.save(who.groupBy("key").agg(F.min("d").alias("cd"), F.count("*").alias("n")).where("n > 1").select("key", "cd"))
-        n = F.size(F.filter(F.split(F.decode("text", "UTF-8"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("int")
-        counted = texts.select("key", "d", n.alias("n")).where(F.col("n") >= options.min_words)
-        whole = counted.join(first, "key").where("d <> cd").select("d", "cd", F.lit(0).alias("start_word"), F.col("n").alias("end_word"), F.lit(0).alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("identity"))
-        rows = rows.unionByName(whole)
-    return rows.where("d <> cd").select(F.nullif("d", F.lit(NO_ID)).alias("doc_id"), F.nullif("cd", F.lit(NO_ID)).alias("source_id"), *cols[:4], (F.col("end_word") - F.col("start_word")).alias("n_words"), "identity")
+        whole = who.join(scratch.save(copied(texts, options)), "t").where("own <> first")
+        out = out.unionByName(whole.select(F.col("own").alias("d"), F.col("first").alias("cd"), F.lit(0).alias("start_word"), F.col("words").alias("end_word"), F.lit(0).alias("source_start"), F.col("words").alias("source_end"), F.lit(1.0).alias("identity")))
+    return out.select(F.nullif("d", F.lit(NO_ID)).alias("doc_id"), F.nullif("cd", F.lit(NO_ID)).alias("source_id"), *PLACES, (F.col("end_word") - F.col("start_word")).alias("n_words"), "identity")
 
 
 def remove_passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
-    """docs with the words of every repeated passage cut from the later documents' texts; n_chars follows. Other columns stay."""
-    found = passages(docs, options).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "end_word")).alias("cuts"))
-    joined = docs.join(found.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left")
+    """docs with the words of every repeated passage cut from the later documents' texts; n_chars follows. Other columns stay.
+
+    Cuts are found per text and met by its MD5, so rows that share an id keep apart; a copy under a higher id is cut whole.
+    """
+    scratch = Scratch(docs.sparkSession, "cuts")
+    K.small_batches(docs.sparkSession)
+    _, texts = distinct_texts(docs, options.min_words, scratch)
+    lined = passages_of(texts, options, scratch)
+    lists = lined.select("t", F.struct("start_word", "end_word").alias("cut")).distinct().groupBy("t").agg(F.collect_list("cut").alias("cuts"))
+    marks = lists.join(copied(texts, options).select("t", "first"), "t", "full_outer")
+    name, cuts, first, own = K.fresh(docs.columns, "text_md5", "cuts", "first_id", "own_id")
+    marks = scratch.save(marks.select(F.col("t").alias(name), F.col("cuts").alias(cuts), F.col("first").alias(first)))
+    named = docs.withColumn(name, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    rest = [c for c in docs.columns if c != "text"]
+    joined = named.join(marks, name, "left").select("text", cuts, F.coalesce(F.col(own) > F.col(first), F.lit(False)).alias(own), *rest)
 
     def cut(batches):
         for batch in batches:
@@ -267,7 +393,9 @@ def remove_passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
             out = []
             for i in range(batch.num_rows):
                 raw = texts[i].as_py()
-                if raw is None or not batch.column(1)[i].is_valid:
+                if batch.column(2)[i].as_py():
+                    raw = ""
+                if not raw or not batch.column(1)[i].is_valid:
                     out.append(raw)
                     continue
                 buf = np.frombuffer(raw.encode(), np.uint8)
@@ -278,11 +406,10 @@ def remove_passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
                     gone[starts[a]] += 1
                     gone[starts[b] if b < len(starts) else len(buf)] -= 1
                 out.append(buf[np.cumsum(gone[:-1]) <= 0].tobytes().decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[2:]], names=["text", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), *batch.columns[3:]], names=["text", *batch.schema.names[3:]])
 
-    rest = [c for c in docs.columns if c != "text"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    cleaned = joined.select("text", "cuts", *rest).mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in ["text", *rest]))
+    cleaned = joined.mapInArrow(cut, ", ".join(f"`{c}` {kinds[c]}" for c in ["text", *rest]))
     if "n_chars" in rest:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(kinds["n_chars"])))
-    return cleaned.select(*docs.columns)
+    return cleaned.select(*(F.col(f"`{c}`") for c in docs.columns))

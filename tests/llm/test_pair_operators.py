@@ -267,3 +267,52 @@ def test_nearest_ties_go_to_the_smaller_id(spark):
     for r in ann.nearest(frame, lambda c: c.isin(50, 150, 170), 5, ann.Options(part_rows=96, crowd=50)).orderBy("query_id", "rank").collect():
         got[r.query_id].append(r.vec_id)
     assert got == {50: [51, 52, 53, 54, 55], 150: [151, 152, 153, 154, 155], 170: [150, 151, 152, 153, 154]}
+
+
+def test_common_subsequence_of_any_length():
+    rng = np.random.default_rng(9)
+    for n, m in ((0, 5), (3, 0), (40, 60), (500, 700)):
+        a, b = rng.integers(0, 9, n).astype(np.uint32), rng.integers(0, 9, m).astype(np.uint32)
+        row = [0] * (m + 1)
+        for x in a.tolist():
+            last = 0
+            for j in range(m):
+                row[j + 1], last = max(row[j + 1], row[j], last + (b[j] == x)), row[j + 1]
+        assert chaining._common(a, b) == row[-1]
+
+
+@pytest.fixture(scope="module")
+def hidden(spark):
+    """A 60-word passage of documents 10 and 11 whose halves stand in 0 to 5 as well, rows that share an id, and columns named as inner ones are."""
+    rng = np.random.default_rng(31)
+    words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
+    rows, want = [], []
+    for k in range(12):
+        p, base = words(60), 100 * k
+        rows += [(base + i, words(30) + (p[:42] if i % 2 else p[18:]) + words(30)) for i in range(6)]
+        rows += [(base + 10, words(40) + p + words(20)), (base + 11, words(10) + p + words(50))]
+        want.append((base + 11, base + 10))
+    long, gap = words(40), [words(450), words(450)]
+    rows += [(5000 + i, words(20) + long + words(0) + gap[0][: 440 + i] + words(30)) for i in range(2)]
+    rows += [(6000, long_ := words(80)), (6000, words(60)), (6001, long_ + words(40)), (6001, words(9))]
+    frame = spark.createDataFrame([(d, " ".join(w), "x", i) for i, (d, w) in enumerate(rows)], "doc_id long, text string, cuts string, t int")
+    return frame, want
+
+
+def test_passages_do_not_depend_on_who_came_first(hidden):
+    frame, want = hidden
+    got = chaining.passages(frame).collect()
+    found = {(r.doc_id, r.source_id): r for r in got}
+    assert set(want) <= set(found) and all(58 <= found[w].n_words <= 62 for w in want)
+    assert (5001, 5000) in found and (6001, 6000) in found
+    assert {a for a, _ in found} == {a for a, _ in want} | {5001, 6001}
+
+
+def test_removal_tells_rows_of_one_id_apart(hidden):
+    frame, _ = hidden
+    before = {r.t: r.text.split() for r in frame.collect()}
+    after = chaining.remove_passages(frame)
+    assert after.columns == frame.columns
+    for r in after.collect():
+        lost = len(before[r.t]) - len(r.text.split())
+        assert r.cuts == "x" and (lost == 80 if r.doc_id == 6001 and len(before[r.t]) > 100 else 58 <= lost <= 62 if r.doc_id < 5000 and r.doc_id % 100 == 11 else lost > 400 if r.doc_id == 5001 else lost == 0)
