@@ -1,6 +1,6 @@
 """Fuzzy repeated passages by collinear chaining.
 
-Seeds are 6-word strings chosen by winnowing (in any 17 words at least one), so a passage that two texts share keeps common
+Seeds are 7-word strings chosen by winnowing (in any 18 words at least one), so a passage that two texts share keeps common
 seeds under scattered edits. Every seed links its occurrences to one canonical place, that of the lowest document id, and
 never to each other: a passage in n documents gives n - 1 pairs. Per pair of texts the ordered matches are chained with a
 linear gap cost, the best predecessor found by prefix maxima in a Fenwick tree; chains are then aligned word by word (gaps
@@ -10,7 +10,7 @@ reported when at least ``min_words`` long and ``identity`` alike.
 A canonical place that shares too little hides a passage that later texts share. So seeds that some text is left with outside all
 passages found are linked again, by longer keys that no place with a short part of the passage can answer: every string of
 ``min_words`` words around them (which finds every passage that long without edits, whoever came first) and pairs of seeds half
-that far apart (for edited ones).
+that far apart (for edited ones). Here only places outside all passages link, and to a place inside one where there is any.
 
 Equal texts, known by their MD5, are one text for all of this; further copies are reported as whole-text passages of the first.
 Words are folded to lower case (A-Z). Texts move to be merged, and to hand out the word hashes of the stretches to align.
@@ -40,7 +40,7 @@ NO_ID = (1 << 63) - 1
 
 @dataclass(frozen=True)
 class Options:
-    seed_words: int = 6
+    seed_words: int = 7
     window: int = 12
     min_words: int = 50
     identity: float = 0.8
@@ -80,6 +80,9 @@ def seeds(buf: np.ndarray, off: np.ndarray, options: Options) -> tuple[np.ndarra
     new = np.ones(len(spot), bool)
     new[1:] = (spot[1:] != spot[:-1]) | (owner[1:] != owner[:-1])
     spot, owner = spot[new], owner[new]
+    same = (grams[spot[1:]] == grams[spot[:-1]]) & (owner[1:] == owner[:-1])
+    ends = ~(np.append(False, same) & np.append(same, False)) if len(spot) else same  # of a run of one word the first and the last
+    spot, owner = spot[ends], owner[ends]
     return owner, grams[spot], spot - first[owner]
 
 
@@ -197,13 +200,22 @@ def line_up_keys(texts: DataFrame, found: DataFrame, options: Options, scratch:
     """(keys that two texts or more have, as (h, t, pos); the passages that they lead to).
 
     found(h, d, t, pos): places of keys. Every place is linked to the lowest (d, t, pos) of its key; passages are rows
-    (t, ct, d, cd, start_word, end_word, source_start, source_end, identity).
+    (t, ct, d, cd, start_word, end_word, source_start, source_end, identity), the later text first. With a column `open` only open places
+    are linked, to the lowest that is not open, if there is one.
     """
+    flagged = "open" in found.columns
     reach = options.seed_words + options.window + options.min_words
     grain = 16  # stretches begin and end on multiples, so that the many pairs of one text ask for few different ones
-    canon = found.groupBy("h").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min(F.struct("d", "t", "pos")).alias("c")).where("t0 <> t1")
+    flag = ["open"] if flagged else []
+    canon = found.groupBy("h").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min(F.struct(*flag, "d", "t", "pos")).alias("c"), *(F.max(c).alias("some") for c in flag)).where("t0 <> t1 AND some" if flagged else "t0 <> t1")
     canon = scratch.save(canon.select("h", F.col("c.d").alias("cd"), F.col("c.t").alias("ct"), F.col("c.pos").alias("cpos")))
-    shared = scratch.save(found.join(canon, "h"))
+    pairs = found.join(canon, "h")
+    if flagged:
+        later = F.struct("d", "t") > F.struct("cd", "ct")
+        swap = lambda a, b, name: F.when(later, F.col(a)).otherwise(F.col(b)).alias(name)
+        shared = scratch.save(pairs.where("open AND t <> ct").select("h", *(swap(a, b, a) for a, b in SIDES), *(swap(b, a, b) for a, b in SIDES)))
+    else:
+        shared = scratch.save(pairs)
     met = shared.where("t <> ct").groupBy("t", "ct").agg(F.min("d").alias("d"), F.min("cd").alias("cd"), F.collect_set(F.struct("pos", "cpos")).alias("at"))
 
     def chains(batches):
@@ -259,12 +271,33 @@ def line_up_keys(texts: DataFrame, found: DataFrame, options: Options, scratch:
     return shared.select("h", "t", "pos"), scratch.save(lined)
 
 
+def merged(covers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of one list of stretches in eights of words, widened by seven words and joined where they meet; ends ascend."""
+    lo, hi = (c.to_numpy() for c in covers.flatten().flatten())
+    order = np.argsort(lo, kind="stable")
+    lo, hi = 8 * lo[order].astype(np.int64) - 7, np.maximum.accumulate(8 * hi[order].astype(np.int64) + 7)
+    new = np.append(True, lo[1:] > hi[:-1])[: len(lo)]
+    return lo[new], hi[np.append(np.flatnonzero(new)[1:] - 1, len(hi) - 1)] if len(hi) else hi
+
+
+def within(covers: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    lo, hi = covers
+    if not len(lo):
+        return np.zeros(len(start), bool)
+    at = np.searchsorted(lo, start, "right") - 1
+    return (at >= 0) & (end <= hi[np.maximum(at, 0)])
+
+
+NOTHING = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def longer_keys(texts: DataFrame, shared: DataFrame, lined: DataFrame, options: Options, scratch: Scratch) -> DataFrame:
-    """(h, d, t, pos): longer keys around every shared seed that some text has outside the passages found."""
+    """(h, d, t, pos, open): longer keys around every shared seed that some text has outside the passages found; open where the key is outside."""
     k, least = options.seed_words, options.min_words
     sides = lined.select("t", F.col("start_word").alias("lo"), F.col("end_word").alias("hi")).unionByName(lined.select(F.col("ct").alias("t"), F.col("source_start").alias("lo"), F.col("source_end").alias("hi")))
     # on multiples of eight, inwards: the many passages of one hub are few different stretches
     covers = sides.select("t", F.ceil(F.col("lo") / 8).cast("int").alias("lo"), F.floor(F.col("hi") / 8).cast("int").alias("hi")).distinct().groupBy("t").agg(F.collect_list(F.struct("lo", "hi")).alias("covers"))
+    covers = scratch.save(covers)
     seeds_of = shared.groupBy("t").agg(F.collect_set(F.struct("h", "pos")).alias("seeds"))
 
     def outside(batches):
@@ -272,11 +305,8 @@ def longer_keys(texts: DataFrame, shared: DataFrame, lined: DataFrame, options:
             out = []
             for i in range(batch.num_rows):
                 h, pos = (c.to_numpy() for c in batch.column(0).slice(i, 1).flatten().flatten())
-                inside = np.zeros(len(h), bool)
-                if batch.column(1)[i].is_valid:
-                    for lo, hi in zip(*(c.to_numpy() for c in batch.column(1).slice(i, 1).flatten().flatten()), strict=True):
-                        inside |= (pos >= 8 * lo - 7) & (pos + k <= 8 * hi + 7)
-                out.append(np.unique(h[~inside]))
+                known = merged(batch.column(1).slice(i, 1)) if batch.column(1)[i].is_valid else NOTHING
+                out.append(np.unique(h[~within(known, pos, pos + k)]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))], names=["h"])
 
     loose = scratch.save(seeds_of.join(covers, "t", "left").select("seeds", "covers").mapInArrow(outside, "h long").distinct())
@@ -291,13 +321,14 @@ def longer_keys(texts: DataFrame, shared: DataFrame, lined: DataFrame, options:
                 np.cumsum(words * p[: len(words)], out=total[1:])
                 for i in range(hi - lo):
                     pos, h = (c.to_numpy() for c in batch.column(3).slice(lo + i, 1).flatten().flatten())
+                    known = merged(batch.column(4).slice(lo + i, 1)) if batch.column(4)[lo + i].is_valid else NOTHING
                     order = np.lexsort((h, pos))
                     pos, h = pos[order].astype(np.int64), h[order].view(np.uint64)
                     begin, end = first[i], first[i + 1]
                     starts = np.unique((pos[:, None] - np.arange(least - k + 1)).ravel())
                     starts = starts[(starts >= 0) & (starts + least <= end - begin)] + begin
                     window = K.mix((total[starts + least] - total[starts]) * inverse[starts])
-                    at, key = [starts - begin], [window]
+                    at, key, is_open = [starts - begin], [window], [~within(known, starts - begin, starts - begin + least)]
                     near = np.searchsorted(pos, pos + least // 2)
                     for step in range(3):
                         other = near + step
@@ -306,12 +337,18 @@ def longer_keys(texts: DataFrame, shared: DataFrame, lined: DataFrame, options:
                         pair = K.mix(h[use] * U64(3) + h[other[use]])
                         at += [pos[use], pos[other[use]]]
                         key += [K.mix(pair + U64(1)), K.mix(pair + U64(2))]
-                    at, key = np.concatenate(at).astype(np.int32), np.concatenate(key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.repeat(batch.column(1)[lo + i], len(at)), pa.repeat(batch.column(0)[lo + i], len(at)), pa.array(at)], names=["h", "d", "t", "pos"])
+                        is_open += [~within(known, pos[use], pos[other[use]] + k)] * 2
+                    at, key, is_open = np.concatenate(at).astype(np.int32), np.concatenate(key), np.concatenate(is_open)
+                    run = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)])  # one place for a run of equal keys, an open one if there is any
+                    order = np.lexsort((~is_open, run))
+                    order = order[np.append(True, run[order][1:] != run[order][:-1])[: len(order)]]
+                    at, key, is_open = at[order], key[order], is_open[order]
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.repeat(batch.column(1)[lo + i], len(at)), pa.repeat(batch.column(0)[lo + i], len(at)), pa.array(at), pa.array(is_open)], names=["h", "d", "t", "pos", "open"])
 
-    return texts.join(again, "t").select("t", "d", "text", "seeds").mapInArrow(keys, SEEDS)
+    return texts.join(again.join(covers, "t", "left"), "t").select("t", "d", "text", "seeds", "covers").mapInArrow(keys, SEEDS + ", open boolean")
 
 
+SIDES = [("d", "cd"), ("t", "ct"), ("pos", "cpos")]
 PLACES = ["start_word", "end_word", "source_start", "source_end"]
 SEEDS = "h long, d long, t binary, pos int"
 
