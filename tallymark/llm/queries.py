@@ -38,10 +38,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def year():
+    """The first instant of the year that the derived dates lie in; it has no time zone, so the session's plays no part."""
+    return F.lit("2024-01-01").cast("timestamp_ntz")
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Pages with a fetch time: the table has none, so it follows from the id, over the year 2024."""
     minute = F.pmod(F.col("page_id") * 7919, F.lit(525600))
-    return pages.select("page_id", "url", F.timestamp_seconds(F.lit(1704067200) + minute * 60).cast("timestamp_ntz").alias("fetched_at"))
+    return pages.select("page_id", "url", (year() + F.make_dt_interval(mins=minute.cast("int"))).alias("fetched_at"))
 
 
 def dated_list(pages: DataFrame) -> DataFrame:
@@ -49,14 +54,9 @@ def dated_list(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower("url"), url_filters.HOST, 2)
     hosts = pages.select(host.alias("host")).where("host <> ''").distinct().withColumn("n", F.conv(F.substring(F.md5("host"), 1, 4), 16, 10).cast("long"))
     steps = [(0, "host", F.col("host"), "block", F.col("n") % 90), (1, "host", F.col("host"), "allow", 90 + F.col("n") % 70), (2, "host", F.col("host"), "lift", 170 + F.col("n") % 80), (3, "prefix", F.concat("host", F.lit("/en")), "block", 200 + F.col("n") % 100), (4, "domain", F.regexp_extract("host", "[^.]+[.][^.]+$", 0), "block", 320 + F.col("n") % 3)]
-    parts = [
-        hosts.where(F.col("n") % 5 != k).select((F.col("n") * 8 + k).alias("entry_id"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), F.timestamp_seconds(F.lit(1704067200) + day * 86400).cast("timestamp_ntz").alias("listed_at"))
-        for k, kind, pattern, action, day in steps
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    entry = lambda k, kind, pattern, action, day: F.struct((F.col("n") * 8 + k).alias("entry_id"), F.lit(kind).alias("kind"), pattern.alias("pattern"), F.lit(action).alias("action"), (year() + F.make_dt_interval(days=day.cast("int"))).alias("listed_at"))
+    five = F.filter(F.array(*(entry(*s) for s in steps)), lambda e: F.pmod(e["entry_id"], F.lit(8)) != F.col("n") % 5)
+    return hosts.select(F.explode(five).alias("e")).select("e.*")  # one scan of the pages makes all entries
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ The most specific entry in force decides: prefix over host over domain, longer d
 Defined results: a null or hostless URL and a null fetch time match nothing (verdict 'pass'); entries without pattern, kind
 or date are left out; of two entries of one pattern at one instant the larger entry_id counts; repeated captures give one
 row each time they are repeated (their number is carried through); empty tables give 'pass' or an empty result; only the
-named columns are read.
+named columns are read, so others cannot clash; an URL of any length is one value; a hot host is one key a month.
 """
 
 from __future__ import annotations
