@@ -82,24 +82,45 @@ def drill(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, kind.alias("kind")).where("kind IS NOT NULL")
 
 
-def merkle_compare(source: DataFrame, target: DataFrame, keys: list[str], every: int = 200_000, fanout: int = 10, drill_cap: int = 100_000, rounds: int = 40) -> DataFrame:
+def dirty_sides(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(range_id, na, nb) of the ranges whose checksum or count differs: the rows of either side."""
+    left = a.select("range_id", F.col("fp_total").alias("ta"), F.col("row_count").alias("na"))
+    both = left.join(b.select("range_id", F.col("fp_total").alias("tb"), F.col("row_count").alias("nb")), "range_id", "full_outer")
+    return both.where(~(F.col("ta").eqNullSafe(F.col("tb")) & F.col("na").eqNullSafe(F.col("nb")))).select("range_id", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
+
+
+def merkle_compare(source: DataFrame, target: DataFrame, keys: list[str], every: int = 200_000, fanout: int = 10, drill_cap: int = 100_000, rounds: int = 40, dirty_only: bool = True) -> DataFrame:
     """(keys..., kind): rows(keys, fp) that differ, by descent from coarse ranges into the dirty ones.
 
     Each round narrows both sides to dirty ranges and writes them, so plans do not grow with the rounds; ranges over `drill_cap`
-    rows are cut again at the source's NTILE keys.
+    rows are cut again at the NTILE keys of the side that has more rows there, so rows that only one side has are cut as well.
+    With dirty_only off, all large ranges are cut whether they differ or not (descent by size), and checksums are compared once at
+    the end. A descent that has not come under `drill_cap` after `rounds` rounds raises: one key has more rows than that.
     """
     scratch = Scratch(source.sparkSession, "merkle")
     ends = scratch.save(fences(source, keys, every))
     a, b = (scratch.save(range_ids(t, keys, ends)) for t in (source, target))
-    for _ in range(rounds):
-        bad = scratch.save(dirty(checksums(a), checksums(b)))
-        large = bad.where(F.col("row_count") > drill_cap)
-        a, b = (scratch.save(t.join(bad.select("range_id"), "range_id", "left_semi")) for t in (a, b))
-        if not large.limit(1).count():
+    for left in range(rounds, -1, -1):
+        sums = [scratch.save(checksums(t)) for t in (a, b)]
+        bad = scratch.save(dirty_sides(*sums))
+        if dirty_only:
+            sized = bad
+        else:
+            sized = sums[0].select("range_id", F.col("row_count").alias("na")).join(sums[1].select("range_id", F.col("row_count").alias("nb")), "range_id", "full_outer").select("range_id", F.coalesce("na", F.lit(0)).alias("na"), F.coalesce("nb", F.lit(0)).alias("nb"))
+        large = sized.where(F.greatest("na", "nb") > drill_cap)
+        done = not large.limit(1).count()
+        if dirty_only or done:
+            a, b = (scratch.save(t.join(bad.select("range_id"), "range_id", "left_semi")) for t in (a, b))
+        if done:
+            return drill(a, b, keys)
+        if not left:
             break
-        finer = scratch.save(ntile_fences(a.join(large.select("range_id"), "range_id", "left_semi"), keys, fanout).select(*keys).distinct())
+        more = [t.join(large.where(which).select("range_id"), "range_id", "left_semi") for t, which in ((a, "na >= nb"), (b, "nb > na"))]
+        finer = ntile_fences(more[0].unionByName(more[1]), keys, fanout).select(*keys)
+        finer = scratch.save((finer if dirty_only else finer.unionByName(ends)).distinct())
+        ends = finer
         a, b = (scratch.save(range_ids(t.drop("range_id"), keys, finer)) for t in (a, b))
-    return drill(a, b, keys)
+    raise RuntimeError(f"ranges of more than {drill_cap} rows remain after {rounds} rounds")
 
 
 def tuple_range(keys: list[str], low: list | None, high: list | None) -> Column:

@@ -61,8 +61,10 @@ def coded_symbols(rows: DataFrame, count: int, sign: str | None = None, shards:
 
 def to_array(symbols: DataFrame, count: int) -> np.ndarray:
     out = np.zeros((4, count), U64)
-    for r in symbols.collect():
-        out[:, r["idx"]] = np.array([r["cnt"], r["fp_xor"], r["id_xor"], r["hash_xor"]], np.int64).view(U64)
+    got = symbols.select("idx", "cnt", "fp_xor", "id_xor", "hash_xor").toArrow()
+    at = got.column(0).to_numpy()
+    for k in range(4):
+        out[k, at] = got.column(k + 1).to_numpy().view(U64)
     return out
 
 

@@ -89,8 +89,10 @@ def estimate(difference: DataFrame, cells: int) -> DataFrame:
 def to_arrays(cells_frame: DataFrame, cells: int) -> np.ndarray:
     """The 4 x M array of a sketch on the driver; its size is M, whatever the table's."""
     out = np.zeros((4, cells), np.uint64)
-    for r in cells_frame.collect():
-        out[:, r["cell"]] = np.array([r["cnt"], r["fp_xor"], r["id_xor"], r["chk_xor"]], np.int64).view(np.uint64)
+    got = cells_frame.select("cell", "cnt", "fp_xor", "id_xor", "chk_xor").toArrow()
+    at = got.column(0).to_numpy()
+    for k in range(4):
+        out[k, at] = got.column(k + 1).to_numpy().view(np.uint64)
     return out
 
 

@@ -270,12 +270,18 @@ def _(d):
     return f"SELECT count(*) AS d_pos_recs, {d.share(f'd_ms <= {CELLS} / {BETA}e0')} AS pct_round1_decodes, {d.share(f'd_ms <= 4096 / {BETA}e0')} AS pct_fits_4096_cells, {d.share('d_ms > 1e6', 2)} AS pct_d_over_1e6 FROM {{eligible}} WHERE d_row > 0"
 
 
+def _correlation(x: str, y: str) -> str:
+    """Pearson's correlation of two columns from their sums; null where one of them does not vary."""
+    apart = lambda v: f"(count(*) * sum({v} * {v}) - sum({v}) * sum({v}))"
+    return f"(count(*) * sum({x} * {y}) - sum({x}) * sum({y})) / nullif(sqrt({apart(x)} * {apart(y)}), 0)"
+
+
 @analysis("a11_within_table_rank_correlation")
 def _(d):
     rank = lambda x: f"CAST(rank() OVER (PARTITION BY series ORDER BY {x}) AS DOUBLE)"
     return f"""SELECT count(*) AS series, {d.whole("median(runs)")} AS med_runs, {d.r(d.q("rho", 0.25), 3)} AS rho_p25, {d.r("median(rho)", 3)} AS rho_p50, {d.r(d.q("rho", 0.75), 3)} AS rho_p75, {d.share("rho > 0")} AS pct_positive, {d.share("rho > 0.3")} AS pct_gt_0_3, {d.share("rho < -0.3")} AS pct_lt_neg_0_3, {d.r("median(rho_nt)", 3)} AS rho_n_t_p50, {d.r("median(rho_dn)", 3)} AS rho_d_n_p50
-    FROM (SELECT series, count(*) AS runs, corr(rd, rt) AS rho, corr(rn, rt) AS rho_nt, corr(rd, rn) AS rho_dn FROM (SELECT series, d_ms, dur_s, {rank("d_ms")} AS rd, {rank("dur_s")} AS rt, {rank("n_rows")} AS rn FROM {{eligible}} WHERE dur_s IS NOT NULL) b
-      GROUP BY series HAVING count(*) >= 20 AND count(DISTINCT d_ms) >= 5 AND stddev_pop(dur_s) > 0 AND stddev_pop(rn) > 0) c"""
+    FROM (SELECT series, count(*) AS runs, {_correlation("rd", "rt")} AS rho, {_correlation("rn", "rt")} AS rho_nt, {_correlation("rd", "rn")} AS rho_dn FROM (SELECT series, d_ms, dur_s, {rank("d_ms")} AS rd, {rank("dur_s")} AS rt, {rank("n_rows")} AS rn FROM {{eligible}} WHERE dur_s IS NOT NULL) b
+      GROUP BY series HAVING count(*) >= 20 AND count(DISTINCT d_ms) >= 5 AND min(dur_s) < max(dur_s)) c"""
 
 
 @analysis("a12_zero_against_positive")

@@ -199,6 +199,11 @@ def _(spark, sf_dir):
     return merkle.merkle_compare(*keyed(spark, sf_dir), ["k"], every=2000, drill_cap=200)
 
 
+@register("o82_size_descent", ORACLES["o82_merkle_compare"])
+def _(spark, sf_dir):
+    return merkle.merkle_compare(*keyed(spark, sf_dir), ["k"], every=2000, drill_cap=500, dirty_only=False)
+
+
 @register("o42_tuple_range", "SELECT o_orderpriority, o_orderkey FROM orders WHERE (o_orderpriority > '2-HIGH' OR (o_orderpriority = '2-HIGH' AND o_orderkey > 700)) AND (o_orderpriority < '4-NOT SPECIFIED' OR (o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey <= 900))")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(merkle.tuple_range(["o_orderpriority", "o_orderkey"], ["2-HIGH", 700], ["4-NOT SPECIFIED", 900])).select("o_orderpriority", "o_orderkey")
