@@ -9,8 +9,8 @@ length and look their places up in the plan, which is broadcast and holds a few
 Only lengths, not texts, are ever shuffled. The numbering is salted by a hash of the document id, so a length that a third
 of all pieces share is spread over all partitions.
 
-Defined results: a null text is an empty one and packs as the lone end-of-document id; repeated rows are packed once per
-row; an empty table gives an empty result; only the named columns are read, so others cannot clash; a null id is kept.
+Defined results: a null text is an empty one and packs as the lone end-of-document id; a very long text is cut into pieces;
+equal lengths are told apart by salt, id, piece and CRC; repeated rows are packed once per row; an empty table gives an empty result; only the named columns are read, so others cannot clash; a null id is kept.
 """
 
 from __future__ import annotations
@@ -101,7 +101,11 @@ def exchange(donor: Counter, taker: Counter, gap: int) -> tuple[list[int], list[
 
 
 def local_search(bins: list[Bins], capacity: int, rounds: int = 4000) -> list[Bins]:
-    """Exchanges between underfull bins, from the emptiest on; every step raises the sum of squared fills."""
+    """Exchanges between underfull bins, from the emptiest on; every step raises the sum of squared fills.
+
+    Ends where no exchange is left, where the number of bins meets its lower bound, or after `rounds` exchanges of whole
+    patterns: an effort bound, which depends on the lengths that occur and not on the number of documents. All pieces are placed.
+    """
     full = [b for b in bins if b.fill == capacity]
     open_ = [b for b in bins if b.fill < capacity]
     least = -(-sum(b.fill * b.count for b in bins) // capacity)
