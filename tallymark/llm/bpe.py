@@ -1,13 +1,18 @@
-"""Exact BPE encoding and decoding of whole texts, with tree concatenation for long unsplit text.
+"""Exact BPE encoding and decoding of whole texts by tree concatenation.
 
-The vocabulary drops white space, so ASCII white space is an exact cut and every word between two cuts can be encoded on its
-own, most of them pre-token by pre-token; these units repeat, and a worker remembers the ids of those it has met. A long run without white space is encoded as a tree:
-its halves, in parallel, down to leaves, then a growing window around each join is encoded again until it agrees with the
-left half at its left end and with the right half at its right end. Two adjacent tokens of one valid encoding stay valid
-neighbours, so a window that agrees on a pair of tokens on both sides gives exactly the encoding of the whole.
+A text of more than ``LEAF_BYTES`` is halved, wherever the middle falls, until its parts are short enough; all leaves of a slice
+of texts are encoded side by side, as texts of their own. Then, around every join, a window that begins some units before it and
+ends some after it is encoded again, and doubled until its first and last units come out as the two halves have them; what lies
+between these replaces the units there. Two adjacent tokens of one valid encoding stay valid neighbours, so a window that agrees
+on both sides gives exactly the encoding of the whole.
 
-One scan, no shuffle. Defined results: a null text is an empty one (no ids, empty decoded text); repeated rows are each
-encoded; an empty table gives an empty result; only the named columns are read, so others cannot clash.
+Within a leaf the vocabulary drops white space, so ASCII white space is an exact cut, and most words can be encoded pre-token by
+pre-token; these units repeat, and a worker remembers the ids of those it has met, up to ``MEMO_BYTES``. A unit of over ``LONG``
+bytes is a tree again, token by token (``encode_long``). Decoding looks the tokens' strings up by id, for a whole slice at once.
+
+One scan, no shuffle. Defined results: a null text is an empty one (no ids, empty decoded text); very long texts, with or without
+white space, go through the tree; repeated rows are each encoded; ids are returned as they are; an empty table gives an empty
+result; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -22,8 +27,8 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-LEAF, LONG = 1024, 4096
-MEMO_WORDS = 150_000
+LEAF, LONG, LEAF_BYTES = 1024, 4096, 8192
+MEMO_BYTES, MEMO_ENTRY = 32 << 20, 190  # an entry's objects and its place in the dictionary, besides its bytes
 SLICE_BYTES = 3 << 19  # more words share a look-up in a longer slice
 Token = tuple[int, int, int]
 _tokenizers: dict[str, object] = {}
@@ -121,59 +126,150 @@ def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return folded, begin, np.minimum(stop, ends[np.searchsorted(starts, begin, "right") - 1]) if len(begin) else stop[:0]
 
 
+def halves(buf: np.ndarray, off: np.ndarray, leaf: int, whole: list[bytes]) -> np.ndarray:
+    """Where the texts of a slice are halved until no part is over `leaf` bytes; never inside a character or a string of `whole`.
+
+    Those are the vocabulary's added tokens, which are matched before anything else: a window can end inside one without a sign.
+    """
+    reach = max(map(len, whole), default=1)
+    out = []
+    for i in np.flatnonzero(np.diff(off) > leaf).tolist():
+        size = int(off[i + 1] - off[i])
+        parts = 1 << (-(-size // leaf) - 1).bit_length()
+        for j in range(1, parts):
+            at = int(off[i]) + size * j // parts
+            while at < off[i + 1] and buf[at] & 0xC0 == 0x80:
+                at += 1
+            near, inside = max(int(off[i]), at - reach + 1), True
+            while inside:  # past an added token, and past one that this step may have led into
+                around = buf[near : min(int(off[i + 1]), at + reach)].tobytes().lower()
+                ends = [k + near + len(w) for w in whole for k in range(max(0, at - near - len(w) + 1), at - near) if around.startswith(w, k)]
+                inside = bool(ends)
+                at = max(ends, default=at)
+                near = max(near, at - reach + 1)
+            if at < off[i + 1]:
+                out.append(at)
+    return np.array(sorted(set(out)), np.int64)
+
+
 class Codec:
-    """Encodes texts word by word, and decodes as the tokenizer's decode of all ids does: token strings joined by spaces."""
+    """Encodes texts leaf by leaf and unit by unit, and decodes as the tokenizer's decode of all ids does: token strings joined by spaces."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, leaf: int = LEAF_BYTES):
         self.tokenizer = load(path)
-        self.plain = self.tokenizer.decoder is None
-        self.strings = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        if self.tokenizer.decoder is not None:
+            raise ValueError("decoding by token needs a vocabulary without a decoder")
+        strings = [(self.tokenizer.id_to_token(i) or "").encode() + b" " for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.strings = np.frombuffer(b"".join(strings), np.uint8)
+        self.sizes = np.array([len(x) for x in strings], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.leaf, self.joins = leaf, 0
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ids: dict[bytes, bytes] = {}
-        self.strings_of: dict[bytes, bytes] = {}
-
-    def _entry(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return array("I", ids).tobytes(), b" ".join([self.strings[i] for i in ids])
-
-    def _learn(self, units: list[bytes]) -> None:
-        for w, e in zip(units, self.tokenizer.encode_batch([w.decode() for w in units], add_special_tokens=False), strict=True):
-            self.ids[w], self.strings_of[w] = self._entry(e.ids)
+        self.held = 0
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct units, as 32-bit integers; short ones are remembered."""
+        if self.held > MEMO_BYTES:
+            self.ids, self.held = {}, 0
+        known = self.ids
+        new = [w for w in words if w not in known]
+        short = [w for w in new if len(w) <= LONG]
+        for w, e in zip(short, self.tokenizer.encode_batch([w.decode() for w in short], add_special_tokens=False), strict=True):
+            known[w] = ids = array("I", e.ids).tobytes()
+            self.held += len(w) + len(ids) + MEMO_ENTRY
+        if len(short) == len(new):
+            return [known[w] for w in words]
+        long = {w: array("I", encode_long(self.tokenizer, w.decode())).tobytes() for w in new if len(w) > LONG}
+        return [long[w] if len(w) > LONG else known[w] for w in words]
+
+    def _window(self, text: bytes, head: tuple[bytes, bytes] | None, tail: tuple[bytes, bytes] | None) -> bytes | None:
+        """Ids between the window's first and last unit (bytes, ids), None if it does not agree with one of them; no unit, no claim."""
+        if head is None and tail is None and len(text) > LONG:
+            return array("I", encode_long(self.tokenizer, text.decode())).tobytes()
+        got = self.tokenizer.encode(text.decode(), add_special_tokens=False)
+        ids, a, b = array("I", got.ids).tobytes(), 0, len(got.ids)
+        if head is not None:
+            a = len(head[1]) // 4
+            if ids[: 4 * a] != head[1] or (a < b and got.offsets[a][0] < len(head[0].decode())):
+                return None
+        if tail is not None:
+            b -= len(tail[1]) // 4
+            if b < a or ids[4 * b :] != tail[1] or (b > 0 and got.offsets[b - 1][1] > len(text.decode()) - len(tail[0].decode())):
+                return None
+        return ids[4 * a : 4 * b]
+
+    def _join(self, raw: bytes, starts: np.ndarray, ends: np.ndarray, ids_of, cut: int, lo: int, hi: int, segments: dict[int, tuple[int, bytes]]) -> None:
+        """Encode again around one cut among the units lo..hi of a text; segments hold (end, ids) of units replaced, by their first."""
+        self.joins += 1
+        at, width = int(np.searchsorted(starts, cut)), 2
+        while True:
+            p, q = max(lo, at - width), min(hi, at + width)
+            for a, (b, _) in segments.items():  # never begin or end inside what another join replaced
+                if a < p < b or p == a:
+                    p = max(lo, a - 1)
+                if a < q < b or q == b:
+                    q = min(hi, b + 1)
+            if p >= q:
+                return
+            unit = lambda j: (raw[starts[j] : ends[j]], ids_of(j))
+            head = unit(p) if p > lo and p not in segments else None
+            tail = unit(q - 1) if q < hi and not any(a <= q - 1 < b for a, (b, _) in segments.items()) else None
+            if (p > lo and head is None) or (q < hi and tail is None):
+                width *= 2
+                continue
+            a, b = p + (head is not None), q - (tail is not None)
+            got = self._window(raw[starts[p] : ends[q - 1]], head, tail) if a < b else None
+            if got is not None:
+                for k in [k for k in segments if a <= k < b]:
+                    del segments[k]
+                segments[a] = (b, got)
+                return
+            width *= 2
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian 32-bit integers, decoded text) of each UTF-8 text of a slice.
 
         The slice's distinct units are encoded, or remembered; what they gave is then gathered for all units at once.
         """
-        if not self.plain:
-            raise ValueError("word-wise decoding needs a vocabulary without a decoder")
-        if len(self.ids) > MEMO_WORDS:
-            self.ids, self.strings_of = {}, {}
-        buf, starts, ends = units(buf, off)
-        first = np.searchsorted(starts, off)
-        hashes = K.span_hash(K.prefix_hash(buf), starts, ends)
-        _, index, which = np.unique(hashes, return_index=True, return_inverse=True)
+        cuts = halves(buf, off, self.leaf, self.added)
+        buf, starts, ends = units(buf, np.union1d(off, cuts))
+        _, index, which = np.unique(K.span_hash(K.prefix_hash(buf), starts, ends), return_index=True, return_inverse=True)
         raw = buf.tobytes()
-        words = [raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)]
-        new = set(words).difference(self.ids)
-        long = {w for w in new if len(w) > LONG}
-        self._learn(list(new - long))
-        for w in long:
-            self.ids[w], self.strings_of[w] = self._entry(encode_long(self.tokenizer, w.decode()))
-        ids, id_at = _gather([self.ids[w] for w in words], which, first, 4)
-        text, text_at = _gather([s + b" " if s else s for s in map(self.strings_of.__getitem__, words)], which, first, 1)
-        for w in long:
-            del self.ids[w], self.strings_of[w]
-        return [(ids[id_at[i] : id_at[i + 1]], text[text_at[i] : max(text_at[i + 1] - 1, text_at[i])]) for i in range(len(off) - 1)]
-
-
-def _gather(parts: list[bytes], which: np.ndarray, first: np.ndarray, width: int) -> tuple[bytes, np.ndarray]:
-    """The parts that `which` names, end to end, and the byte offsets of the texts whose words begin at `first`."""
-    flat = np.frombuffer(b"".join(parts), np.uint32 if width == 4 else np.uint8)
-    sizes = np.array([len(p) for p in parts], np.int64) // width
+        parts = self._ids([raw[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist(), strict=True)])
+        if len(cuts):
+            first = np.searchsorted(starts, off)
+            keep, whose = np.ones(len(starts), bool), np.searchsorted(off, cuts, "right") - 1
+            for i in np.unique(whose).tolist():
+                segments: dict[int, tuple[int, bytes]] = {}
+                mine = cuts[whose == i].tolist()
+                step = 1
+                while step <= len(mine):  # neighbouring leaves first, then what they make
+                    for j in range(step - 1, len(mine), 2 * step):
+                        self._join(raw, starts, ends, lambda u: parts[which[u]], mine[j], int(first[i]), int(first[i + 1]), segments)
+                    step *= 2
+                for a, (b, ids) in segments.items():
+                    keep[a + 1 : b] = False
+                    which[a] = len(parts)
+                    parts.append(ids)
+            which, starts = which[keep], starts[keep]
+        ids, at = _gather(parts, which, np.searchsorted(starts, off))
+        sizes = self.sizes[ids]
+        upto = np.append(0, np.cumsum(sizes))
+        text = self.strings[np.repeat(self.begin[ids] - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
+        ids_raw, ends_at = ids.tobytes(), upto[at]
+        return [(ids_raw[4 * at[i] : 4 * at[i + 1]], text[ends_at[i] : max(ends_at[i + 1] - 1, ends_at[i])]) for i in range(len(off) - 1)]
+
+
+def _gather(parts: list[bytes], which: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the parts that `which` names, end to end, and where those of each text begin; its units begin at `first`."""
+    flat = np.frombuffer(b"".join(parts), np.uint32)
+    sizes = np.array([len(p) for p in parts], np.int64) // 4
     begin = np.cumsum(sizes) - sizes
     counts = sizes[which]
     at = np.append(0, np.cumsum(counts))
     shift = np.repeat(begin[which] - at[:-1], counts)
-    return flat[shift + np.arange(len(shift))].tobytes(), at[first] * width
+    return flat[shift + np.arange(len(shift))], at[first]
 
 
 _codecs: dict[str, Codec] = {}

@@ -51,10 +51,30 @@ def _merge_locally(batches):
         yield pa.RecordBatch.from_arrays([pa.array(vertex[part]), pa.array(low[part]), pa.array(np.full(len(vertex[part]), changed))], names=["v", "r", "changed"])
 
 
+def _merge_first(batches):
+    """The same for raw links (v, r), 2^20 at a time, before they are dealt: of a hub's links one a task is left."""
+    held, size = [], 0
+
+    def flush():
+        v, r = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
+        vertex, low = forest(v, r)
+        return pa.RecordBatch.from_arrays([pa.array(vertex), pa.array(low), pa.array(np.ones(len(vertex), bool))], names=["v", "r", "jumped"])
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= TASK_LINKS:
+            yield flush()
+            held, size = [], 0
+    if size:
+        yield flush()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """(v, label): the smallest id reachable over edges(a, b), for every vertex but those that are smallest themselves.
 
-    Links point from the larger to the smaller id and are dealt by the larger, so a hub is never a key. A round shortens every
+    Links are merged where they stand, then point from the larger to the smaller id and are dealt by the larger, which has one link
+    a task left: a hub is never a hot key. A round shortens every
     link by one jump (a join of two written tables, whose hot keys adaptive execution can split) and merges what meets in a
     partition; it ends when a round changes nothing. A task merges about 2^20 links, in arrays, whatever their number.
     """
@@ -63,7 +83,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -
         dealt = links.repartition(max(1, -(-n // TASK_LINKS)), "v")
         return scratch.save(dealt.select("v", "r", "jumped").mapInArrow(_merge_locally, LINKS))
 
-    first = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("r"), F.lit(True).alias("jumped")))
+    first = scratch.save(edges.where("a <> b").select("a", "b").mapInArrow(_merge_first, "v long, r long, jumped boolean"))
     n = first.count()
     links = merged(first, n)
     scratch.drop(first)

@@ -205,9 +205,12 @@ def classify(docs: DataFrame, labels: DataFrame, options: Options = Options()) -
     return columns(docs).mapInArrow(score, SCHEMA)
 
 
-def keep_rows(docs: DataFrame, labels: DataFrame, options: Options = Options()) -> DataFrame:
-    """The rows of docs that the classifier keeps, all their columns as they are: one scan, no join."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, options))
+def keep_rows(docs: DataFrame, labels: DataFrame, options: Options = Options(), fit_on: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that the classifier keeps, all their columns as they are: one scan, no join.
+
+    It is fitted on `fit_on` where that is given: rows that earlier stages have thinned may lack labelled rows of one class.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs if fit_on is None else fit_on, labels, options))
 
     def sieve(batches):
         scorer = Scorer(model.value)

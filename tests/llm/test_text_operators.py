@@ -92,6 +92,33 @@ def test_tree_concatenation_is_exact(leaf):
         assert bpe.encode_long(tokenizer, text, leaf) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("leaf", [4, 16, 100])
+def test_halves_of_texts_are_joined_exactly(leaf):
+    """Whole texts cut anywhere: inside words, contractions, special tokens, characters' neighbours and white space."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    codec, whole = bpe.Codec(path, leaf), Tokenizer.from_file(path)
+    rng = np.random.default_rng(leaf)
+    pieces = ["a", "the ", " ", "isn't", "it's ", "É", "ü", "12", "3.5", "...", "😀", "<|endoftext|>", "\n", "\t", "你好", "́", "Running ", "x", "'", "&&", "unbelievable "]
+    texts = ["".join(rng.choice(pieces, rng.integers(1, 120))) for _ in range(120)] + ["", " ", "x" * 700, "ab1'" * 200]
+    raw = [t.encode() for t in texts]
+    got = codec.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    assert codec.joins > 100
+    for t, (ids, text) in zip(texts, got, strict=True):
+        want = whole.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(ids, "<u4").tolist() == want and text.decode() == whole.decode(want, skip_special_tokens=False)
+
+
+def test_the_tree_serves_the_tables(spark):
+    """Production leaves: texts of the table that are over 8 KB are halved, joined, and equal the library's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("octet_length(text) > 8192").collect()]
+    codec, whole = bpe.Codec(path), Tokenizer.from_file(path)
+    raw = [t.encode() for t in docs]
+    got = codec.encode(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    assert len(docs) > 20 and codec.joins >= len(docs)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids, _ in got] == [e.ids for e in whole.encode_batch(docs, add_special_tokens=False)]
+
+
 def test_packing_is_whole_gapless_and_tight(spark, odd, odd_rows, none):
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = collections.Counter()
