@@ -19,17 +19,19 @@ from tallymark.workers import ready
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the base rules or the fitted verdict reject go; a null or empty text goes, repeated rows fare alike."""
     ready(spark)
     return quality_rules.keep_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def apply_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the co-trained classifier rejects go; it is fitted on all of `documents`, as the rules before it leave few bad labelled rows."""
     ready(spark)
-    return cotraining.keep_rows(docs, table(spark, sf_dir, "labels"))
+    return cotraining.keep_rows(docs, table(spark, sf_dir, "labels"), fit_on=table(spark, sf_dir, "documents"))
 
 
 def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word-shingle near copies stays: that of the smallest id."""
+    """One document of each group of five-word-shingle near copies stays: that of the smallest id (a null id only in a group of such)."""
     ready(spark)
     id_, text = kernels.fresh(docs.columns, "kept_id", "text_hash")
     kept = near_dedup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias(id_)).distinct()
@@ -38,11 +40,13 @@ def apply_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def apply_substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated passages are cut from all documents but the first; every row stays, if need be with an empty text."""
     ready(spark)
     return chaining.remove_passages(docs)
 
 
 def apply_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where every token piece of every row is packed; an empty text packs as its end mark."""
     ready(spark)
     return packed(docs).drop("ids")
 
