@@ -193,7 +193,10 @@ def distinct_texts(docs: DataFrame, min_words: int, scratch: Scratch) -> tuple[D
     text = F.coalesce("text", F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.unhex(F.md5(text)).alias("t"), text.alias("text"))
     once = rows.where(F.octet_length("text") >= 2 * min_words - 1).groupBy("t").agg(F.min("d").alias("d"), F.count("*").alias("n"), F.first("text").alias("text"))
-    return rows, scratch.save(once)
+    texts = scratch.save(once)
+    del once
+    scratch.tidy()
+    return rows, texts
 
 
 def line_up_keys(texts: DataFrame, found: DataFrame, options: Options, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -209,6 +212,7 @@ def line_up_keys(texts: DataFrame, found: DataFrame, options: Options, scratch:
     flag = ["open"] if flagged else []
     canon = found.groupBy("h").agg(F.min("t").alias("t0"), F.max("t").alias("t1"), F.min(F.struct(*flag, "d", "t", "pos")).alias("c"), *(F.max(c).alias("some") for c in flag)).where("t0 <> t1 AND some" if flagged else "t0 <> t1")
     canon = scratch.save(canon.select("h", F.col("c.d").alias("cd"), F.col("c.t").alias("ct"), F.col("c.pos").alias("cpos")))
+    scratch.tidy()
     pairs = found.join(canon, "h")
     if flagged:
         later = F.struct("d", "t") > F.struct("cd", "ct")
@@ -216,6 +220,9 @@ def line_up_keys(texts: DataFrame, found: DataFrame, options: Options, scratch:
         shared = scratch.save(pairs.where("open AND t <> ct").select("h", *(swap(a, b, a) for a, b in SIDES), *(swap(b, a, b) for a, b in SIDES)))
     else:
         shared = scratch.save(pairs)
+    del pairs
+    scratch.drop(canon)
+    scratch.tidy()
     met = shared.where("t <> ct").groupBy("t", "ct").agg(F.min("d").alias("d"), F.min("cd").alias("cd"), F.collect_set(F.struct("pos", "cpos")).alias("at"))
 
     def chains(batches):
@@ -268,7 +275,9 @@ def line_up_keys(texts: DataFrame, found: DataFrame, options: Options, scratch:
     side = lambda k, lo, hi, name: cuts.select(F.col("t").alias(k), F.col("lo").alias(lo), F.col("hi").alias(hi), F.col("words").alias(name))
     both = linked.join(side("t", "lo", "hi", "wa"), ["t", "lo", "hi"]).join(side("ct", "clo", "chi", "wb"), ["ct", "clo", "chi"])
     lined = both.select("t", "ct", "d", "cd", "lo", "clo", "x", "y", "wa", "wb").mapInArrow(line_up, "t binary, ct binary, d long, cd long, " + ", ".join(f"{c} int" for c in PLACES) + ", identity double")
-    return shared.select("h", "t", "pos"), scratch.save(lined)
+    lined = scratch.save(lined)
+    scratch.drop(linked, cuts)
+    return shared, lined
 
 
 def merged(covers: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -365,11 +374,13 @@ def passages_of(texts: DataFrame, options: Options, scratch: Scratch) -> DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column(1).take(own), batch.column(0).take(own), pa.array(pos.astype(np.int32))], names=["h", "d", "t", "pos"])
 
     shared, lined = line_up_keys(texts, texts.select("t", "d", "text").mapInArrow(find, SEEDS), options, scratch)
-    keyed = scratch.save(longer_keys(texts, shared, lined, options, scratch))
+    keyed = scratch.save(longer_keys(texts, shared.select("h", "t", "pos"), lined, options, scratch))
+    scratch.drop(shared)
     scratch.tidy()
     if not keyed.limit(1).count():
         return lined
-    _, more = line_up_keys(texts, keyed, options, scratch)
+    again, more = line_up_keys(texts, keyed, options, scratch)
+    scratch.drop(keyed, again)
     old = lined.select(F.col("t").alias("t_"), F.col("ct").alias("ct_"), *(F.col(c).alias(c + "_") for c in PLACES))
     middle, source = F.expr("(start_word + end_word) div 2"), F.expr("(source_start + source_end) div 2")
     known = (F.col("t") == F.col("t_")) & (F.col("ct") == F.col("ct_")) & middle.between(F.col("start_word_"), F.col("end_word_")) & source.between(F.col("source_start_"), F.col("source_end_"))
@@ -401,8 +412,10 @@ def passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
     lined = passages_of(texts, options, scratch)
     who = rows.select("t", F.col("d").alias("own"))
     out = who.join(lined, "t").select(F.col("own").alias("d"), "cd", *PLACES, "identity")
+    whole = scratch.save(copied(texts, options))
+    scratch.drop(texts)
     if options.copies:
-        whole = who.join(scratch.save(copied(texts, options)), "t").where("own <> first")
+        whole = who.join(whole, "t").where("own <> first")
         out = out.unionByName(whole.select(F.col("own").alias("d"), F.col("first").alias("cd"), F.lit(0).alias("start_word"), F.col("words").alias("end_word"), F.lit(0).alias("source_start"), F.col("words").alias("source_end"), F.lit(1.0).alias("identity")))
     return out.select(F.nullif("d", F.lit(NO_ID)).alias("doc_id"), F.nullif("cd", F.lit(NO_ID)).alias("source_id"), *PLACES, (F.col("end_word") - F.col("start_word")).alias("n_words"), "identity")
 
@@ -420,6 +433,7 @@ def remove_passages(docs: DataFrame, options: Options = Options()) -> DataFrame:
     marks = lists.join(copied(texts, options).select("t", "first"), "t", "full_outer")
     name, cuts, first, own = K.fresh(docs.columns, "text_md5", "cuts", "first_id", "own_id")
     marks = scratch.save(marks.select(F.col("t").alias(name), F.col("cuts").alias(cuts), F.col("first").alias(first)))
+    scratch.drop(texts, lined)
     named = docs.withColumn(name, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))).withColumn(own, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
     rest = [c for c in docs.columns if c != "text"]
     joined = named.join(marks, name, "left").select("text", cuts, F.coalesce(F.col(own) > F.col(first), F.lit(False)).alias(own), *rest)

@@ -196,6 +196,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, hot: int = HOT_SEGMENTS,
     scratch.tidy()
     found = segments_of(texts, length, k)
     repeated = scratch.save(found.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1").select("h"))
+    scratch.tidy()
     places = scratch.save(found.join(repeated, "h").select("h", "s", "t", "n", "at", "width"))
     scratch.tidy()
     scratch.drop(repeated)
