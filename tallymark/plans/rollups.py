@@ -59,3 +59,26 @@ def failed_only_spread(summaries: DataFrame) -> DataFrame:
 def missing_from_grid(results: DataFrame, grid: DataFrame) -> DataFrame:
     """Rows of the expected grid that the results do not have."""
     return grid.join(results.select(*grid.columns).distinct(), grid.columns, "left_anti")
+
+
+def suffix_shards(table: DataFrame, key: str, shards: int) -> DataFrame:
+    """(shard, low, high, n): `shards` ranges of equal width over the number that ends a text key, and the keys in each; keys without one are left out."""
+    number = F.nullif(F.regexp_extract(key, "([0-9]{1,18})$", 1), F.lit("")).cast("long")
+    numbered = table.select(number.alias("number")).where("number IS NOT NULL")
+    ends = numbered.agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    width = F.ceil((F.col("last") - F.col("first") + 1) / F.lit(shards)).cast("long")
+    placed = numbered.join(F.broadcast(ends)).withColumn("width", width)  # one row of bounds
+    shard = F.expr("(number - first) div width").cast("int")
+    return placed.groupBy(shard.alias("shard")).agg(F.min("number").alias("low"), F.max("number").alias("high"), F.count("*").alias("n"))
+
+
+def snapped_fences(table: DataFrame, key: str, parts: int) -> DataFrame:
+    """(fence, probe, key): evenly spaced probes over an integer key, each snapped to the least key that is not below it; two scans, no sort."""
+    k = F.col(key).cast("long")
+    bounds = table.agg(F.min(k).alias("lo"), F.max(k).alias("hi")).collect()[0]
+    if bounds["lo"] is None:
+        return table.sparkSession.createDataFrame([], "fence int, probe long, key long")
+    probes = [bounds["lo"] + (bounds["hi"] - bounds["lo"]) * i // parts for i in range(1, parts)]
+    row = table.agg(*(F.min(F.when(k >= p, k)).alias(f"k{i}") for i, p in enumerate(probes)))
+    each = F.array(*(F.struct(F.lit(i + 1).alias("fence"), F.lit(p).cast("long").alias("probe"), F.col(f"k{i}").alias("key")) for i, p in enumerate(probes)))
+    return row.select(F.explode(each).alias("f")).select("f.*")

@@ -296,6 +296,21 @@ def _fleet() -> None:
 
 _fleet()
 
+# Written by itself, not from the analysis' own text: the engine's correlation, and null where the ranks of a series do not vary.
+ORACLES["a11_within_table_rank_correlation"] = f"""{fleet.FACTS_SQL},
+timed AS (SELECT series, d_ms, dur_s, n_rows FROM r WHERE is_empty = false AND idle = false AND no_pk = false AND dur_s IS NOT NULL),
+ranked AS (SELECT series, d_ms, dur_s, rank() OVER d AS by_d, rank() OVER t AS by_t, rank() OVER n AS by_n FROM timed
+  WINDOW d AS (PARTITION BY series ORDER BY d_ms), t AS (PARTITION BY series ORDER BY dur_s), n AS (PARTITION BY series ORDER BY n_rows)),
+long AS (SELECT series FROM timed GROUP BY series HAVING count(*) > 19 AND count(DISTINCT d_ms) > 4 AND count(DISTINCT dur_s) > 1),
+each AS (SELECT series, count(*) AS size, corr(by_d, by_t) AS dt,
+    CASE WHEN count(DISTINCT by_n) > 1 THEN corr(by_n, by_t) END AS nt, CASE WHEN count(DISTINCT by_n) > 1 THEN corr(by_d, by_n) END AS dn
+  FROM ranked JOIN long USING (series) GROUP BY series)
+SELECT count(*) AS series, CAST(round_even(quantile_cont(size, 0.5), 0) AS BIGINT) AS med_runs, floor(quantile_cont(dt, 0.25) * 1000 + 0.5e0) / 1000 AS rho_p25, floor(quantile_cont(dt, 0.5) * 1000 + 0.5e0) / 1000 AS rho_p50,
+  floor(quantile_cont(dt, 0.75) * 1000 + 0.5e0) / 1000 AS rho_p75, floor(1000e0 * sum(CASE WHEN dt > 0 THEN 1 ELSE 0 END) / nullif(count(*), 0) + 0.5e0) / 10 AS pct_positive,
+  floor(1000e0 * sum(CASE WHEN dt > 0.3 THEN 1 ELSE 0 END) / nullif(count(*), 0) + 0.5e0) / 10 AS pct_gt_0_3, floor(1000e0 * sum(CASE WHEN dt < -0.3 THEN 1 ELSE 0 END) / nullif(count(*), 0) + 0.5e0) / 10 AS pct_lt_neg_0_3,
+  floor(quantile_cont(nt, 0.5) * 1000 + 0.5e0) / 1000 AS rho_n_t_p50, floor(quantile_cont(dn, 0.5) * 1000 + 0.5e0) / 1000 AS rho_d_n_p50
+FROM each"""
+
 
 @register("a20_run_summary", run_summary.checker_sql())
 def _(spark, sf_dir):
@@ -375,6 +390,27 @@ def _(spark, sf_dir):
     return rollups.sampled_fences(table(spark, sf_dir, "orders"), "o_orderkey", 16)
 
 
+@register("o06_snapped_fences", "SELECT CAST(i AS INTEGER) AS fence, probe, (SELECT min(o_orderkey) FROM orders WHERE o_orderkey >= probe) AS key FROM (SELECT i, lo + (hi - lo) * i // 16 AS probe FROM (SELECT min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM orders), range(1, 16) t(i))")
+def _(spark, sf_dir):
+    return rollups.snapped_fences(table(spark, sf_dir, "orders"), "o_orderkey", 16)
+
+
+@register("o05_suffix_shards", """WITH n AS (SELECT CAST(substr(c_name, 10) AS BIGINT) AS number FROM customer), e AS (SELECT min(number) AS a, max(number) AS z FROM n)
+SELECT CAST((number - a) // CAST(ceil((z - a + 1) / 12) AS BIGINT) AS INTEGER) AS shard, min(number) AS low, max(number) AS high, count(*) AS n FROM n, e GROUP BY 1""")
+def _(spark, sf_dir):
+    return rollups.suffix_shards(table(spark, sf_dir, "customer"), "c_name", 12)
+
+
+FIRST = 25
+
+
+@register("o111_first_candidates", f"SELECT CAST(pk AS BIGINT) AS pk, kind FROM ({ORACLES['o51_full_outer_classify_orders']}) ORDER BY CAST(pk AS BIGINT) LIMIT {FIRST}")
+def _(spark, sf_dir):
+    """The first candidates in key order: each partition keeps its own first ones, so nothing is sorted whole."""
+    found = reconcile.full_outer(*copies(spark, sf_dir, "orders"))
+    return found.select(F.col("pk").cast("long").alias("pk"), "kind").orderBy("pk").limit(FIRST)
+
+
 @register("s15_rateless_reconcile_orders", ORACLES["o51_full_outer_classify_orders"])
 def _(spark, sf_dir):
     return rateless.reconcile_tables(*copies(spark, sf_dir, "orders"))

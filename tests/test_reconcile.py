@@ -183,3 +183,15 @@ def test_scans_read_only_named_columns(spark):
     assert plan.count("Exchange") == 1  # partial sketches meet once
     lines = queries.table(spark, SF, "lineitem").where("l_shipdate < timestamp_ntz'1995-01-01'").select("l_orderkey")
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate" in lines._jdf.queryExecution().executedPlan().toString()
+
+
+def test_descent_cuts_rows_that_one_side_alone_has(spark):
+    """300 rows of the target lie below every key of the source: one range, which only the target's keys can cut."""
+    a = spark.range(0, 1000).selectExpr("id AS k", "id * 7 AS fp")
+    b = a.where("k % 50 <> 3").unionByName(spark.range(-300, 0).selectExpr("id AS k", "id AS fp"))
+    want = {(k, "source_only") for k in range(1000) if k % 50 == 3} | {(k, "target_only") for k in range(-300, 0)}
+    for dirty_only in (True, False):
+        got = merkle.merkle_compare(a, b, ["k"], every=200, drill_cap=40, dirty_only=dirty_only)
+        assert {tuple(r) for r in got.collect()} == want
+    with pytest.raises(RuntimeError):
+        merkle.merkle_compare(a.withColumn("k", F.lit(1)), b, ["k"], every=200, drill_cap=40, rounds=2)
