@@ -17,9 +17,9 @@ from ..sources.scratch import Scratch
 
 
 def in_key_order(rows: DataFrame, keys: list[str], counted: Column | None = None, parts: int | None = None) -> DataFrame:
-    """rows with `before`: how many rows (where `counted` holds) stand before each in key order."""
+    """rows with `before`: how many rows (where `counted` holds; or the sum of `counted`, if it is a number) stand before each in key order."""
     spark = rows.sparkSession
-    flag = (F.lit(True) if counted is None else counted).cast("int")
+    flag = (F.lit(True) if counted is None else counted).cast("long")
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.withColumn("__one", flag).repartitionByRange(n, *keys).sortWithinPartitions(*keys, F.col("__one")).withColumn("__part", F.spark_partition_id()).persist()
     sizes = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.sum("__one").alias("n")).collect()}  # one row per partition

@@ -12,12 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.merkle import in_key_order
+from . import positions
+
 # Fixed values of the deployment that the analyses describe.
 CELLS, ALPHA, BETA, CELL_BYTES, PERIODIC_RUNS = 512, 1.52, 1.3, 32, 30
 LADDER = (0.10, 0.25, 0.50, 0.60, 0.70, 0.75, 0.80, 0.85, 0.90, 0.95, 0.99, 0.999)
 TIERS = ((1_000, "1_<1K"), (1_000_000, "2_1K-1M"), (10_000_000, "3_1-10M"), (100_000_000, "4_10-100M"))
 
 
+# The columns that have a ladder, and the rows it stands on.
+LADDERS = {"dur_s": "dur_s IS NOT NULL", "n_rows": "true", "d_ms": "d_row > 0"}
+
+
+def _steps_sql(x: str, where: str) -> str:
+    """The quantiles of a ladder as a common table of the checking engine."""
+    return f"steps_{x} AS (SELECT {', '.join(f'quantile_cont({x}, {p}) AS q{i}' for i, p in enumerate(LADDER))}, max({x}) AS mx FROM eligible WHERE {where})"
+
+
 class Dialect:
     """Text of the few functions that differ between the engines."""
 
@@ -150,7 +162,10 @@ eligible AS (SELECT * FROM ne WHERE NOT idle AND NOT no_pk),
 seq AS (SELECT *, count(*) OVER s AS runs, row_number() OVER (s ORDER BY exec_time, exec_id) AS rn FROM eligible WINDOW s AS (PARTITION BY series) QUALIFY runs >= {PERIODIC_RUNS}),
 isle AS (SELECT *, rn - row_number() OVER (PARTITION BY series, d_ms > 0 ORDER BY rn) AS grp FROM seq),
 segs AS (SELECT series, grp, count(*) AS len, sum(dur_s) AS sec, min(rn) AS r0, max(rn) AS r1, min(d_ms) AS dmin, max(d_ms) AS dmax, count(DISTINCT d_ms) AS nvals, max(runs) AS runs FROM isle WHERE d_ms > 0 GROUP BY series, grp),
-pairs AS (SELECT *, lag(d_ms) OVER w AS prev, lead(d_ms) OVER w AS next_d, lag(exec_time) OVER w AS prev_time, sum(CASE WHEN d_ms = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series) AS zero_runs FROM seq WINDOW w AS (PARTITION BY series ORDER BY rn))
+pairs AS (SELECT *, lag(d_ms) OVER w AS prev, lead(d_ms) OVER w AS next_d, lag(exec_time) OVER w AS prev_time, sum(CASE WHEN d_ms = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY series) AS zero_runs FROM seq WINDOW w AS (PARTITION BY series ORDER BY rn)),
+longest_first AS (SELECT dur_s, d_row, n_rows, row_number() OVER (ORDER BY dur_s DESC, exec_id) AS rn FROM eligible WHERE dur_s IS NOT NULL),
+deciles AS (SELECT dur_s, d_row, n_rows, ntile(10) OVER (ORDER BY dur_s, exec_id) AS decile FROM eligible),
+{", ".join(_steps_sql(x, where) for x, where in LADDERS.items())}
 """
 
 Text = Callable[[Dialect], str]
@@ -199,40 +214,39 @@ def _(d):
 @analysis("a04_time_concentration")
 def _(d):
     slices = (("1_top 0.1%", "rn <= greatest(1, floor(1e-3 * n))"), ("2_top 1%", "rn <= greatest(1, floor(1e-2 * n))"), ("3_top 5%", "rn <= greatest(1, floor(5e-2 * n))"), ("4_top 10%", "rn <= greatest(1, floor(1e-1 * n))"), ("5_bottom 50%", "rn > floor(n / 2e0)"))
-    ranked = "(SELECT e.dur_s, e.d_row, e.n_rows, t.n, t.sec, row_number() OVER (ORDER BY e.dur_s DESC, e.exec_id) AS rn FROM {eligible} e, (SELECT count(*) AS n, sum(dur_s) AS sec FROM {eligible} WHERE dur_s IS NOT NULL) t WHERE e.dur_s IS NOT NULL)"
+    ranked = "(SELECT e.*, t.n, t.sec FROM {longest_first} e, (SELECT count(*) AS n, sum(dur_s) AS sec FROM {longest_first}) t)"
     return " UNION ALL ".join(f"SELECT '{name}' AS slice, count(*) AS recs, {d.pct('sum(dur_s)', 'max(sec)')} AS pct_of_total_time, {d.share('d_row > 0')} AS pct_d_gt0, {d.r('median(dur_s) / 3.6e3', 4)} AS med_hours, {d.r('median(n_rows) / 1e6', 4)} AS med_n_millions FROM {ranked} x WHERE {w}" for name, w in slices)
 
 
-def _ladder(d: Dialect, x: str, where: str, capacity: bool = False) -> str:
+def _ladder(d: Dialect, x: str, capacity: bool = False) -> str:
     """Twelve quantiles and the maximum of x, each with the share of the sum of x at or below it."""
-    steps = ", ".join(f"{d.q(x, p)} AS q{i}" for i, p in enumerate(LADDER))
     marks = [(f"p{p * 100:g}", f"q{i}") for i, p in enumerate(LADDER)] + [("max", "CAST(mx AS DOUBLE)")]
     sums = ", ".join(f"sum(CASE WHEN e.{x} <= q.{v if v.startswith('q') else 'mx'} THEN e.{x} END) AS s{i}" for i, (_, v) in enumerate(marks))
-    one = f"(SELECT {', '.join(f'max(q.{v}) AS {v}' for _, v in marks[:-1])}, max(q.mx) AS mx, {sums}, sum(e.{x}) AS total FROM (SELECT {x} FROM {{eligible}} WHERE {where}) e, (SELECT {steps}, max({x}) AS mx FROM {{eligible}} WHERE {where}) q)"
+    one = f"(SELECT {', '.join(f'max(q.{v}) AS {v}' for _, v in marks[:-1])}, max(q.mx) AS mx, {sums}, sum(e.{x}) AS total FROM (SELECT {x} FROM {{eligible}} WHERE {LADDERS[x]}) e, {{steps_{x}}} q)"
     fits = f", CASE WHEN {{v}} <= {CELLS} / {BETA}e0 THEN 'yes' ELSE 'no' END AS fits_first_round" if capacity else ""
     return " UNION ALL ".join(f"SELECT '{name}' AS quantile, {d.r(v, 3)} AS v, {d.pct(f's{i}', 'total', 2)} AS cum_pct{fits.replace('{v}', v)} FROM {one} o" for i, (name, v) in enumerate(marks))
 
 
 @analysis("a05_duration_ladder")
 def _(d):
-    return _ladder(d, "dur_s", "dur_s IS NOT NULL")
+    return _ladder(d, "dur_s")
 
 
 @analysis("a05_size_ladder")
 def _(d):
-    return _ladder(d, "n_rows", "true")
+    return _ladder(d, "n_rows")
 
 
 @analysis("a05_difference_ladder")
 def _(d):
-    return _ladder(d, "d_ms", "d_row > 0", True)
+    return _ladder(d, "d_ms", True)
 
 
 @analysis("a06_size_by_duration_decile")
 def _(d):
     return f"""SELECT decile, count(*) AS recs, {d.whole("median(dur_s)")} AS med_dur_s, {d.whole(d.q("n_rows", 0.1))} AS n_p10, {d.whole("median(n_rows)")} AS n_p50, {d.whole(d.q("n_rows", 0.9))} AS n_p90,
       {d.r("median(n_rows * 1e0 / nullif(dur_s, 0))", 0)} AS med_rows_per_s, {d.share("d_row = 0")} AS pct_d0, {d.pct("sum(n_rows)", "max(n)", 2)} AS pct_max_side_rows, {d.pct("sum(dur_s)", "max(sec)", 2)} AS pct_table_time
-    FROM (SELECT e.*, t.n, t.sec, ntile(10) OVER (ORDER BY e.dur_s, e.exec_id) AS decile FROM {{eligible}} e, (SELECT sum(n_rows) AS n, sum(dur_s) AS sec FROM {{eligible}}) t) x GROUP BY decile"""
+    FROM (SELECT e.*, t.n, t.sec FROM {{deciles}} e, (SELECT sum(n_rows) AS n, sum(dur_s) AS sec FROM {{deciles}}) t) x GROUP BY decile"""
 
 
 def _batch_tail(d: Dialect, batch: str, least: int) -> str:
@@ -410,15 +424,33 @@ def _(d):
     FROM {{eligible}} GROUP BY exec_id ORDER BY sum(n_rows) DESC, exec_id LIMIT 5"""
 
 
+def _longest_first(eligible: DataFrame) -> DataFrame:
+    timed = eligible.where("dur_s IS NOT NULL").select("dur_s", "d_row", "n_rows", "exec_id", (-F.col("dur_s")).alias("shorter"))
+    return in_key_order(timed, ["shorter", "exec_id"]).select("dur_s", "d_row", "n_rows", (F.col("before") + 1).alias("rn"))
+
+
+def _deciles(eligible: DataFrame) -> DataFrame:
+    return positions.tiles(eligible.select("dur_s", "d_row", "n_rows", "exec_id"), ["dur_s", "exec_id"], 10).withColumnRenamed("tile", "decile")
+
+
+def _steps(x: str) -> Callable[[DataFrame], DataFrame]:
+    return lambda eligible: positions.quantiles(eligible.where(LADDERS[x]), x, {f"q{i}": p for i, p in enumerate(LADDER)} | {"mx": 1.0})
+
+
+#: Tables made from the eligible records by position in key order, for the analyses that read them.
+ORDERED: dict[str, Callable[[DataFrame], DataFrame]] = {"longest_first": _longest_first, "deciles": _deciles, **{f"steps_{x}": _steps(x) for x in LADDERS}}
+
+
 def run(spark: SparkSession, frames: dict[str, DataFrame], name: str) -> DataFrame:
     """One analysis over the facts."""
     text = ANALYSES[name](Dialect())
+    frames = frames | {k: make(frames["eligible"]) for k, make in ORDERED.items() if "{" + k + "}" in text}
     return spark.sql(text, **{k: v for k, v in frames.items() if "{" + k + "}" in text})
 
 
 def checker_sql(name: str) -> str:
     """The statement of an analysis over the derived log, for the engine that checks it."""
     text = ANALYSES[name](Checker())
-    for k in ("execs", "progress", "rec", "r", "ne", "eligible", "seq", "segs", "pairs"):
+    for k in ("execs", "progress", "rec", "r", "ne", "eligible", "seq", "segs", "pairs", *ORDERED):
         text = text.replace("{" + k + "}", k)
     return f"{FACTS_SQL} SELECT * FROM ({text}) result"

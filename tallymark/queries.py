@@ -233,6 +233,57 @@ def _(spark, sf_dir):
     return keyvalue.digests(kv_store(table(spark, sf_dir, "customer")), include_key=False)
 
 
+def sized_sql(x: str) -> str:
+    """The bytes of a text after their length as four bytes."""
+    return f"unhex(lpad(hex(octet_length(encode({x}))), 8, '0')) || encode({x})"
+
+
+def items_sql(*xs: str) -> str:
+    return f"unhex('03{len(xs):08x}')" + "".join(f" || unhex('01') || {sized_sql(x)}" for x in xs)
+
+
+def members_sql(*xs: str) -> str:
+    """A set of texts that differ, in the order of their bytes."""
+    ordered = f"list_sort([{', '.join(f'encode({x})' for x in xs)}])"
+    each = "".join(f" || unhex(lpad(hex(octet_length({ordered}[{i}])), 8, '0')) || {ordered}[{i}]" for i in range(1, len(xs) + 1))
+    return f"unhex('{len(xs):08x}'){each}"
+
+
+NAME, SEGMENT, KEY_TEXT = "c_name", "c_mktsegment", "CAST(c_custkey AS VARCHAR)"
+# One key in six of every kind; the digits of a number sort before the letters of a name, so a hash of both has it first.
+KIND_BYTES = {
+    "string": f"unhex('01') || {sized_sql(NAME)}",
+    "list": f"CASE WHEN c_custkey % 12 = 1 THEN {items_sql()} ELSE {items_sql(NAME, SEGMENT, NAME)} END",
+    "set": members_sql(NAME, SEGMENT, KEY_TEXT),
+    "hash": f"unhex('00000002') || {sized_sql(KEY_TEXT)} || {sized_sql(NAME)} || {sized_sql(NAME)} || {sized_sql(SEGMENT)}",
+    "zset": items_sql(KEY_TEXT, NAME),
+    "stream": items_sql(SEGMENT),
+}
+KINDS_SQL = " UNION ALL ".join(
+    f"SELECT {KV_KEY} AS key, '{kind}' AS type, md5(encode('{kind}') || unhex('00{len(kind):08x}') || encode('{kind}') || {value}) AS digest FROM customer WHERE c_custkey % 6 = {i}" for i, (kind, value) in enumerate(KIND_BYTES.items())
+)
+
+
+def kinds_store(customers: DataFrame) -> DataFrame:
+    name, segment, number = F.col(NAME), F.col(SEGMENT), F.col("c_custkey").cast("string")
+    values = {
+        "string": name.alias("str"),
+        "list": F.when(F.col("c_custkey") % 12 == 1, F.array().cast("array<string>")).otherwise(F.array(name, segment, name)).alias("list"),
+        "set": F.array(name, segment, number).alias("set"),
+        "hash": F.create_map(name, segment, number, name).alias("hash"),
+        "zset": F.array(number, name).alias("zset"),
+        "stream": F.array(segment).alias("stream"),
+    }
+    kind = F.element_at(F.array(*map(F.lit, values)), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return customers.select(F.concat(F.lit("k:"), F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("key"), kind.alias("type"), *values.values())
+
+
+@register("o29_kv_digests_by_kind", f"SELECT key, type, digest, CAST('0x' || substr(digest, 1, 14) AS BIGINT) AS fp FROM ({KINDS_SQL})")
+def _(spark, sf_dir):
+    store = kinds_store(table(spark, sf_dir, "customer"))
+    return keyvalue.digests(store, include_key=False).join(store.select("key", "type"), "key").select("key", "type", "digest", "fp")
+
+
 BUCKETS = 64
 BUCKET_ROWS = f"SELECT c_custkey AS n, {fp_of(text_sql(CUSTOMER))} AS fp, {id_sql('c_custkey')} AS id FROM"
 VECTOR = "CAST({sm} % {b} AS INTEGER)"

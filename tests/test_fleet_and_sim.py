@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallymark import queries
 from tallymark.datagen import generate
 from tallymark.operators import keyvalue, reconcile, sketch
-from tallymark.plans import fleet, rollups
+from tallymark.plans import fleet, positions, rollups
 from tallymark.sim import trials
 from tallymark.sources import logs
 from tallymark.spec import PkType, TableSpec, ValueType
@@ -46,6 +46,18 @@ def test_facts_of_an_empty_log(spark):
         fleet.run(spark, frames, name).collect()
 
 
+def test_positions_of_hot_and_few_values(spark):
+    values = [7] * 500 + list(range(101)) + [None, None]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(values)], "x long, i long").repartition(5)
+    steps = {"low": 0.0, "tenth": 0.1, "mid": 0.5, "high": 0.999, "top": 1.0}
+    got = positions.quantiles(rows, "x", steps).collect()[0]
+    assert np.allclose([got[k] for k in steps], np.quantile([v for v in values if v is not None], list(steps.values())))
+    assert positions.quantiles(rows.where("x IS NULL"), "x", steps).collect() == [(None,) * len(steps)]
+    for n in (0, 4, 10, 23):
+        tiles = {r.i: r.tile for r in positions.tiles(rows.where(F.col("i") < n), ["i"], 10).collect()}
+        assert [tiles[i] for i in range(n)] == [1 + k for k, part in enumerate(np.array_split(np.arange(n), 10)) for _ in part]
+
+
 def test_generated_differences_are_counted_exactly(spark):
     p = generate.Profile(256, 4, 2, 1, block=256)
     assert (p.d_row, p.d_ms) == (7, 11)
