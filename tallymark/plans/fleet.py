@@ -223,8 +223,11 @@ def _ladder(d: Dialect, x: str, capacity: bool = False) -> str:
     marks = [(f"p{p * 100:g}", f"q{i}") for i, p in enumerate(LADDER)] + [("max", "CAST(mx AS DOUBLE)")]
     sums = ", ".join(f"sum(CASE WHEN e.{x} <= q.{v if v.startswith('q') else 'mx'} THEN e.{x} END) AS s{i}" for i, (_, v) in enumerate(marks))
     one = f"(SELECT {', '.join(f'max(q.{v}) AS {v}' for _, v in marks[:-1])}, max(q.mx) AS mx, {sums}, sum(e.{x}) AS total FROM (SELECT {x} FROM {{eligible}} WHERE {LADDERS[x]}) e, {{steps_{x}}} q)"
-    fits = f", CASE WHEN {{v}} <= {CELLS} / {BETA}e0 THEN 'yes' ELSE 'no' END AS fits_first_round" if capacity else ""
-    return " UNION ALL ".join(f"SELECT '{name}' AS quantile, {d.r(v, 3)} AS v, {d.pct(f's{i}', 'total', 2)} AS cum_pct{fits.replace('{v}', v)} FROM {one} o" for i, (name, v) in enumerate(marks))
+    names = ", ".join(f"({i}, '{name}')" for i, (name, _) in enumerate(marks))
+    v = "CASE m.i " + " ".join(f"WHEN {i} THEN {v}" for i, (_, v) in enumerate(marks)) + " END"
+    below = "CASE m.i " + " ".join(f"WHEN {i} THEN s{i}" for i in range(len(marks))) + " END"
+    fits = f", CASE WHEN {v} <= {CELLS} / {BETA}e0 THEN 'yes' ELSE 'no' END AS fits_first_round" if capacity else ""
+    return f"SELECT m.quantile, {d.r(v, 3)} AS v, {d.pct(below, 'total', 2)} AS cum_pct{fits} FROM {one} o, (VALUES {names}) AS m(i, quantile)"
 
 
 @analysis("a05_duration_ladder")
