@@ -12,7 +12,7 @@ from .functions import hashing as H
 from .datagen import generate
 from .operators import estimators, keyvalue, merkle, pushdown, rateless, reconcile, sketch
 from .plans import fleet, rollups, run_summary
-from .sim import correlation, trials
+from .sim import checks, correlation, sweep, trials
 from .spec import CUSTOMER, ORDERS, PART, PkType, TableSpec, ValueType
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,6 +408,62 @@ def _(spark, sf_dir):
     return trials.pipelines(spark, [0, 10, 200], 40)
 
 
+@register("s13_crossover", None)
+def _(spark, sf_dir):
+    return trials.crossover(spark, [64, 256, 1024], [0, 10, 100, 1000], 30)
+
+
+LAW = [trials.Config(64, 51, negative=-1), trials.Config(64, 80), trials.Config(256, 205, negative=-1)]
+
+
+@register("s05_failed_threshold", None)
+def _(spark, sf_dir):
+    return checks.failed_threshold(trials.run(spark, LAW, 400), LAW)
+
+
+@register("s19b_trial_distribution", None)
+def _(spark, sf_dir):
+    return checks.against_chi_square(trials.run(spark, LAW, 400), LAW)
+
+
+@register("s03_failed_order_bounds", None)
+def _(spark, sf_dir):
+    return checks.failed_order_bounds(trials.run(spark, LAW, 400))
+
+
+@register("s19_second_rounds_orders", None)
+def _(spark, sf_dir):
+    source, target, spec = copies(spark, sf_dir, "orders")
+    return sweep.second_rounds(sketch.fingerprints(source, spec), sketch.fingerprints(target, spec), 8)
+
+
+# Summaries of trials by load and sign projection; the table has none, so they come of its events.
+POINTS = """SELECT 64 AS cells, 3 AS k, 40 + 10 * (user_id % 3) AS d, CASE WHEN event_id % 8 < 7 THEN CAST(event_id % 8 AS DOUBLE) / 7 END AS rho, avg(1 + value / 1000) AS failed_mean, var_samp(value / 1000) AS failed_variance,
+  count(*) AS failed_n, avg(CASE WHEN user_id % 5 = 0 THEN 1e0 ELSE 0.1e0 END) AS fail_rate FROM events GROUP BY user_id % 3, event_id % 8"""
+
+
+@register("s18_sign_projection", f"""WITH p AS (SELECT *, d * pow(rho, 2) - 1 AS z, failed_mean - 1 AS y, sqrt(failed_variance / failed_n) AS error FROM ({POINTS}) WHERE rho IS NOT NULL),
+u AS (SELECT * FROM p WHERE error > 0),
+g AS (SELECT cells, k, d, sum(z * y / pow(error, 2)) / sum(pow(z / error, 2)) AS slope, pow(sum(pow(z / error, 2)), -0.5) AS slope_error, avg(fail_rate) AS pf FROM u GROUP BY ALL),
+o AS (SELECT a.d, a.rho, sum(b.z * b.y / pow(b.error, 2)) / sum(pow(b.z / b.error, 2)) * a.z AS predicted, abs(a.z) * pow(sum(pow(b.z / b.error, 2)), -0.5) AS predicted_error FROM u a JOIN u b ON a.d = b.d AND a.rho <> b.rho GROUP BY a.d, a.rho, a.z),
+v AS (SELECT *, abs(z / (d - 1)) * sqrt(2e0 * (d - 1) / (d * (cells - 1))) * sqrt((1 - pf) / pf) AS bound FROM u JOIN g USING (cells, k, d) JOIN o USING (d, rho))
+SELECT cells, k, d, rho, round(y, 6) AS y, round(error, 6) AS error, round(slope, 6) AS slope, round(slope_error, 6) AS slope_error, round(predicted, 6) AS predicted, round(predicted_error, 6) AS predicted_error,
+  round((y - predicted) / sqrt(pow(error, 2) + pow(predicted_error, 2)), 6) AS residual_z, round(bound, 6) AS bound, abs(y) <= bound AS inside FROM v""")
+def _(spark, sf_dir):
+    got = checks.sign_projection(spark.sql(POINTS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events")))
+    return got.select(*(F.round(c, 6).alias(c) if c not in ("cells", "k", "d", "rho", "inside") else F.col(c) for c in got.columns))
+
+
+SWEEP_RUNS = "SELECT user_id % 6 AS profile, 1 + abs(value) AS d_hat, 64 * (1 + event_id % 9) AS capacity, CASE WHEN user_id % 6 = 2 AND event_id % 50 = 0 THEN NULL ELSE user_id % 6 <> 4 OR event_id % 70 <> 0 END AS passed FROM events WHERE value IS NOT NULL"
+
+
+@register("s19c_sweep_rollup", f"""SELECT profile, count(*) AS runs, min(d_hat) AS d_hat_min, max(d_hat) AS d_hat_max, round(avg(d_hat), 6) AS d_hat_mean, round(sqrt((sum(d_hat * d_hat) - pow(sum(d_hat), 2) / count(*)) / (count(*) - 1)) / avg(d_hat), 6) AS d_hat_rsd,
+  min(capacity) AS capacity_min, max(capacity) AS capacity_max, count(*) = 12 AND count(*) FILTER (WHERE passed) = count(*) AS whole FROM ({SWEEP_RUNS}) GROUP BY profile""")
+def _(spark, sf_dir):
+    got = checks.sweep_rollup(spark.sql(SWEEP_RUNS.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events")), 12)
+    return got.withColumn("d_hat_mean", F.round("d_hat_mean", 6)).withColumn("d_hat_rsd", F.round("d_hat_rsd", 6))
+
+
 BENCH_RUNS = "SELECT user_id % 5 AS pair, event_type AS scenario, user_id % 3 AS network, user_id % 2 AS algorithm, event_id % 4 AS workers, CASE WHEN event_id % 6 = 0 THEN 'warm' ELSE 'measure' END AS phase, CASE WHEN event_id % 9 = 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN event_id % 14 <> 0 THEN 1 + abs(value) END AS e2e_s FROM events"
 
 

@@ -154,12 +154,87 @@ def scopes(results: DataFrame, from_cells: int = 256) -> DataFrame:
     return out
 
 
+def aligned(size: float, step: int = 64) -> int:
+    """Cells of a table: a multiple of `step`, at least one."""
+    return max(step, math.ceil(size / step) * step)
+
+
+def strata(d: int, rng: np.random.Generator, levels: int = 16, cells: int = 80) -> tuple[float, bool, int]:
+    """(estimate, complete, elements recovered) of small sketches by trailing zeros, decoded from the sparsest down to the first that fails."""
+    level = np.minimum(rng.geometric(0.5, d) - 1, levels - 1)
+    held, recovered = np.bincount(level, minlength=levels), 0
+    for i in range(levels - 1, -1, -1):
+        c = Config(cells, int(held[i]))
+        element, cell, _ = incidence(c, rng)
+        left = core_left(c, element, cell)
+        if left:
+            return float(recovered << (i + 1)), False, recovered + c.d - left
+        recovered += c.d
+    return float(recovered), True, recovered
+
+
+def strata_first(d: int, rng: np.random.Generator, factor: float, cell_bytes: int = 32, levels: int = 16, cells: int = 80) -> tuple[int, int]:
+    """(bytes, rounds): strata, then tables for what they left, sized by their estimate less what they recovered, doubled on failure."""
+    spent, rounds = levels * cells * cell_bytes, 1
+    d_hat, complete, recovered = strata(d, rng, levels, cells)
+    if complete or recovered >= d:
+        return spent, rounds
+    size = aligned(factor * max(d_hat - recovered, 1))
+    while True:
+        spent, rounds = spent + size * cell_bytes, rounds + 1
+        c = Config(size, d - recovered)
+        element, cell, _ = incidence(c, rng)
+        if not core_left(c, element, cell):
+            return spent, rounds
+        size = aligned(2 * size)
+
+
+def joint_jump(d: int, first: int, rng: np.random.Generator, factor: float, cell_bytes: int = 32) -> tuple[int, int]:
+    """(bytes, rounds): a first table, then one sized by its estimate, then as much again as was sent; all tables are peeled jointly."""
+    c = Config(first, d)
+    element, cell, sign = incidence(c, rng)
+    total, rounds = first, 1
+    size = aligned(factor * second_moment(c, np.bincount(cell, sign[element], first)))
+    while core_left(Config(total, d), element, cell):
+        more, at, _ = incidence(Config(size, d), rng)
+        element, cell = np.append(element, more), np.append(cell, at + total)
+        total, rounds = total + size, rounds + 1
+        size = aligned(total)
+    return total * cell_bytes, rounds
+
+
+def crossover(spark: SparkSession, firsts: list[int], ds: list[int], trials: int, factor: float = 1.4, cell_bytes: int = 32, seed: int = 4) -> DataFrame:
+    """Joint jumps from every first size against strata with what they recover credited: mean bytes, rounds, and shares of three rounds or more."""
+    grid = [(m, d) for m in firsts for d in ds]
+
+    def work(batches):
+        for batch in batches:
+            out = []
+            for n in batch.column(0).to_pylist():
+                which, trial = divmod(n, trials)
+                m, d = grid[which]
+                key = seed << 20 | which
+                out.append((m, d, *joint_jump(d, m, _generator(key, trial), factor, cell_bytes), *strata_first(d, _generator(key, trial, 1), factor, cell_bytes)))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in cols], names=names)
+
+    names = ["first", "d", "jump_bytes", "jump_rounds", "strata_bytes", "strata_rounds"]
+    rows = spark.range(len(grid) * trials).mapInArrow(work, ", ".join(f"{n} long" for n in names))
+    late = lambda c: F.avg((F.col(c) >= 3).cast("int"))
+    got = rows.groupBy("first", "d").agg(F.count("*").alias("trials"), *(F.avg(c).alias(f"mean_{c}") for c in names[2:]), late("jump_rounds").alias("jump_late"), late("strata_rounds").alias("strata_late"))
+    return got.withColumn("jump_over_strata", F.col("mean_jump_bytes") / F.col("mean_strata_bytes"))
+
+
 def pipelines(spark: SparkSession, ds: list[int], trials: int, first: int = 64, alpha: float = 1.52, margin: float = 1.2, cell_bytes: int = 32, seed: int = 3) -> DataFrame:
-    """(pipeline, d, mean_bytes, p95_bytes, mean_rounds) of blind doubling, one jump, one joint jump and an oracle that knows d."""
+    """(pipeline, d, mean_bytes, p95_bytes, mean_rounds) of blind doubling, one jump, one joint jump, strata first, and an oracle that knows d."""
 
     def cost(name: str, d: int, which: int, trial: int) -> tuple[int, int]:
+        if name == "strata_first":
+            return strata_first(d, _generator(seed << 20 | which, trial, 254), alpha * margin, cell_bytes)
         if name == "oracle":
-            size = max(first, math.ceil(1.3 * d))
+            rng, size = _generator(seed << 20 | which, trial, 255), aligned(1.05 * d) if d else first
+            while core_left(Config(size, d), *incidence(Config(size, d), rng)[:2]):
+                size = aligned(1.1 * size + 1)
             return size * cell_bytes, 1
         size, spent, rounds = first, 0, 0
         held: list[tuple[np.ndarray, np.ndarray, int]] = []
@@ -179,7 +254,7 @@ def pipelines(spark: SparkSession, ds: list[int], trials: int, first: int = 64,
             else:
                 size = max(2 * size if rounds > 1 else 0, math.ceil(alpha * margin * max(second_moment(c, np.bincount(cell, sign[element], size)), 1)), 4)
 
-    names = ["blind_doubling", "one_jump", "one_jump_joint", "oracle"]
+    names = ["blind_doubling", "one_jump", "one_jump_joint", "strata_first", "oracle"]
 
     def work(batches):
         for batch in batches:
