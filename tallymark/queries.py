@@ -13,6 +13,7 @@ from .datagen import generate
 from .operators import estimators, keyvalue, merkle, pushdown, rateless, reconcile, sketch
 from .plans import fleet, rollups, run_summary
 from .sim import checks, correlation, sweep, trials
+from .sources import logs
 from .spec import CUSTOMER, ORDERS, PART, PkType, TableSpec, ValueType
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -508,6 +509,12 @@ def _(spark, sf_dir):
     return rollups.suffix_shards(table(spark, sf_dir, "customer"), "c_name", 12)
 
 
+@register("o11_content_sums", """SELECT count(*) AS records, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS sum_high, CAST(sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) AS VARCHAR) AS sum_low
+FROM (SELECT md5(coalesce(CAST(o_orderkey AS VARCHAR), '\\N') || chr(31) || coalesce(o_orderstatus, '\\N') || chr(31) || coalesce(CAST(o_custkey AS VARCHAR), '\\N')) AS h FROM orders)""")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "orders").agg(*logs.content_sums("o_orderkey", "o_orderstatus", "o_custkey"))
+
+
 FIRST = 25
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXECS = "id LONG, task_id LONG, account_id LONG, create_time TIMESTAMP_NTZ, exec_type STRING, status STRING, sample_percent INT"
@@ -31,19 +31,29 @@ def read_run_log(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("__n", F.row_number().over(last)).where("__n = 1").drop("__n", "__file", "__at")
 
 
+def content_sums(*columns: str) -> list[Column]:
+    """(records, sum_high, sum_low): number of rows, and sums of both 60-bit halves of their MD5, the sums as text.
+
+    Sums over all rows need no order, and unlike xors they see a row that is there twice. Null is a mark of its own.
+    """
+    digest = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns)).cast("binary"))
+    half = lambda at: F.coalesce(F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(19,0)")), F.lit(0)).cast("string")
+    return [F.count("*").alias("records"), half(1).alias("sum_high"), half(17).alias("sum_low")]
+
+
 def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Fingerprints (fp, id) as Parquet with a manifest of their number and xor, written last so that its presence means done."""
+    """Fingerprints (fp, id) as Parquet with a manifest of their number and content, written last so that its presence means done."""
     rows.select("fp", "id").write.parquet(f"{path}/data")
-    sums = rows.sparkSession.read.parquet(f"{path}/data").agg(F.count("*").alias("records"), F.bit_xor("fp").alias("fp_xor"), F.bit_xor("id").alias("id_xor")).collect()[0]
+    sums = rows.sparkSession.read.parquet(f"{path}/data").agg(*content_sums("fp", "id")).collect()[0]
     rows.sparkSession.createDataFrame([(json.dumps(sums.asDict()),)], "value string").coalesce(1).write.text(f"{path}/manifest")
 
 
 def read_snapshot(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    """A written snapshot; with verify its content is counted and folded again and held against the manifest."""
+    """A written snapshot; with verify its content is counted and summed again and held against the manifest."""
     manifest = json.loads(spark.read.text(f"{path}/manifest").collect()[0][0])
     rows = spark.read.parquet(f"{path}/data")
     if verify:
-        sums = rows.agg(F.count("*").alias("records"), F.bit_xor("fp").alias("fp_xor"), F.bit_xor("id").alias("id_xor")).collect()[0].asDict()
+        sums = rows.agg(*content_sums("fp", "id")).collect()[0].asDict()
         if sums != manifest:
             raise ValueError(f"snapshot does not match its manifest: {sums} != {manifest}")
     return rows

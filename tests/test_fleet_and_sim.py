@@ -113,6 +113,10 @@ def test_log_readers(spark, tmp_path):
     with pytest.raises(ValueError):
         logs.read_snapshot(spark, str(tmp_path / "snap"))
     assert sum(logs.shard(rows, "id", 4, i).count() for i in range(4)) == 50
+    twice = rows.where("id = 3").unionByName(rows.where("id = 3"))  # a row and its copy cancel in an xor, not in a sum
+    one, two = (f.agg(*logs.content_sums("fp", "id")).collect()[0] for f in (rows, rows.unionByName(twice)))
+    assert (one.sum_high, one.sum_low) != (two.sum_high, two.sum_low)
+    assert rows.limit(0).agg(*logs.content_sums("fp", "id")).collect()[0] == (0, "0", "0")
 
 
 def test_streamed_sketch_equals_batch_sketch(spark, tmp_path):
