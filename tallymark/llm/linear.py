@@ -33,7 +33,7 @@ def ngrams(buf: np.ndarray, off: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarr
     sizes = np.maximum(np.diff(off) - CHARS + 1, 0)
     wide = np.zeros(len(buf) + CHARS, np.uint32)
     for j in range(CHARS):
-        wide[: len(buf) - j] |= buf[j:].astype(np.uint32) << np.uint32(8 * j)
+        wide[: max(len(buf) - j, 0)] |= buf[j:].astype(np.uint32) << np.uint32(8 * j)
     wide *= np.uint32(0x9E3779B1)
     keep = np.ones(len(buf), bool)
     for j in range(1, CHARS):

@@ -37,3 +37,16 @@ def test_empty_table(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, "/root/testdata/sf0.001").count() == 0
+
+
+def test_tiny_texts_alone_in_their_partition(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for k, text in enumerate(["", "a", "ab", " ", None]):
+        tiny = spark.createDataFrame([(10_000 + k, text, "en", "web", 0)], docs.schema)
+        docs = docs.unionByName(tiny)  # a partition of its own, so a slice of its own in every scan
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    more = spark.createDataFrame([(10_000 + k, 0, 0) for k in range(5)], labels.schema)
+    labels.unionByName(more).write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:2]:
+        assert 0 < stage(spark, docs, str(tmp_path)).count() < docs.count()
